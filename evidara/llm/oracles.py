@@ -12,8 +12,8 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 sets AS (SELECT doc_id, md5(string_agg(s, '|' ORDER BY s)) AS h FROM s GROUP BY doc_id),
 class AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS r FROM sets),
 rs AS (SELECT s.doc_id, s.s FROM s JOIN class ON s.doc_id = class.doc_id AND class.r = class.doc_id),
-pair AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both FROM rs a JOIN rs b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
-link AS (SELECT u, v FROM pair JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * both >= 75 * (a.n + b.n - both)
+pair AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM rs a JOIN rs b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT u, v FROM pair JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * shared >= 75 * (a.n + b.n - shared)
          UNION ALL SELECT r, doc_id FROM class WHERE r <> doc_id),
 arc AS (SELECT u, v FROM link UNION SELECT v, u FROM link),
 reach AS (SELECT u AS doc_id, v AS r FROM arc UNION SELECT reach.doc_id, arc.v FROM reach JOIN arc ON arc.u = reach.r),
@@ -38,4 +38,16 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(t.
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 """
 
-ORACLES = {"op2_minhash_near_dedup": OP2, "op8_benchmark_decontamination": OP8}
+OP9 = rf"""
+WITH d AS (SELECT doc_id, {_BLANK_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+x AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+m AS (SELECT h, min(doc_id) AS first FROM x GROUP BY h),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM x JOIN m USING (h) WHERE m.first < doc_id),
+k AS (SELECT e.doc_id, string_agg(e.w, ' ' ORDER BY e.p) AS t FROM (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS p FROM d) e
+      ANTI JOIN r ON r.doc_id = e.doc_id AND r.p = e.p GROUP BY e.doc_id),
+c AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(c.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+ORACLES = {"op2_minhash_near_dedup": OP2, "op8_benchmark_decontamination": OP8, "op9_substring_dedup": OP9}
