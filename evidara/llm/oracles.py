@@ -50,4 +50,15 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(c.n, 0) AS n_removed, sha256(coal
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
 """
 
-ORACLES = {"op2_minhash_near_dedup": OP2, "op8_benchmark_decontamination": OP8, "op9_substring_dedup": OP9}
+OP6 = """
+WITH t AS (SELECT conv_id, turn, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE role END AS author, coalesce(text, '') AS body FROM conversations),
+p AS (SELECT DISTINCT conv_id, author AS speaker FROM t WHERE author <> 'system'),
+r AS (SELECT t.*, p.speaker, CASE WHEN author = 'system' THEN 'system' WHEN author = speaker THEN 'assistant' ELSE 'user' END AS role
+      FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+h AS (SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || author ELSE '' END || chr(10) AS head FROM r)
+SELECT conv_id, speaker, turn, author, role, head || body || '<|im_end|>' || chr(10) AS segment, author = speaker AS trained,
+       CASE WHEN author = speaker THEN length(head) ELSE 0 END AS mask_start, CASE WHEN author = speaker THEN length(head || body) + 11 ELSE 0 END AS mask_end
+FROM h
+"""
+
+ORACLES = {"op6_chat_perspectives": OP6, "op2_minhash_near_dedup": OP2, "op8_benchmark_decontamination": OP8, "op9_substring_dedup": OP9}
