@@ -42,3 +42,20 @@ def words_of(text: Column) -> Column:
     """Array of the maximal runs of anything but ASCII white space; null text has none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK_RUN))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores behind it if df already has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def drop_matching(docs: DataFrame, gone: DataFrame, **on: Column) -> DataFrame:
+    """docs without the rows whose expressions equal (nulls too) the columns of that name in gone; gone is settled, so
+    Spark broadcasts it if the table's size is below the session's threshold and else shuffles both sides."""
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), *[x.alias(f"_on_{name}") for name, x in on.items()])
+    small = settle(gone.select(*[F.col(name).alias(f"_gone_{name}") for name in on]).distinct(), "gone")
+    same = [F.col(f"_on_{name}").eqNullSafe(F.col(f"_gone_{name}")) for name in on]
+    return row.join(small, same, "left_anti").select("_row.*")

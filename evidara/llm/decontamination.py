@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop_matching
+
 WINDOW = 13
 #: Everything but digits, ASCII letters (lower case by then) and characters beyond ASCII parts words.
 APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -97,5 +99,5 @@ def judge(docs: DataFrame, items: DataFrame, **options: int) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, **options: int) -> DataFrame:
     """docs without the contaminated rows, its columns unchanged. Rows with a null doc_id are judged too."""
-    bad = judge(docs, items, **options).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    return docs.join(bad, F.col("_id").eqNullSafe(docs["doc_id"]) & (F.col("_key") == F.xxhash64(docs["text"])), "left_anti")
+    bad = judge(docs, items, **options).where("contaminated")
+    return drop_matching(docs, bad, doc_id=F.col("doc_id"), key=F.xxhash64("text"))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import drop_matching, settle
 from .components import connected_components
 from .shingles import mix, shingle_set
 
@@ -164,5 +164,4 @@ def find_components(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one document of each component: the one with the smallest doc_id. Columns unchanged."""
-    gone = settle(find_components(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")), "gone")
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return drop_matching(docs, find_components(docs).where("NOT kept"), doc_id=F.col("doc_id"))

@@ -171,3 +171,9 @@ def judge(docs: DataFrame, labels: DataFrame, *keep: str, max_labelled: int = 8_
     """Every row of docs with its statistics and verdict. max_labelled: about how many labelled rows to learn from."""
     rules = learn_rules(labelled_statistics(docs, labels, max_labelled))
     return apply_rules(text_statistics(docs, *keep), rules)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, **options: int) -> DataFrame:
+    """The rows of docs that judge() keeps, with docs' own columns."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
+    return judge(rows, labels, "_row", **options).where("kept").select("_row.*")

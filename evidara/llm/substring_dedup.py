@@ -23,14 +23,16 @@ other, and all rows come back. Other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import settle
+from .common import free_name, settle
 from .shingles import mix, sliding_minimum, window_hashes, word_hashes
 
 WINDOW, EDGE = 50, 17
@@ -106,25 +108,27 @@ def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256"]).astype({"doc_id": batch["doc_id"].dtype})
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _cut(starts_name: str, ends_name: str) -> Callable:
     """Texts without their covered words; white space next to what stays is kept."""
-    import re
 
-    for batch in batches:
-        texts = []
-        for text, starts, ends in zip(batch["text"], batch["starts"], batch["ends"], strict=True):
-            if starts is not None and len(starts):
-                spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
-                covered = _cover(starts, ends, len(spans))
-                out, at = [], 0
-                first, last = _runs(covered)
-                for i, j in zip(first.tolist(), last.tolist(), strict=True):
-                    if covered[i]:
-                        out.append(text[at : spans[i][0]])
-                        at = spans[j + 1][0] if j + 1 < len(spans) else len(text)
-                text = "".join([*out, text[at:]])
-            texts.append(text)
-        yield batch.assign(text=texts).drop(columns=["starts", "ends"])
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [t if s is None or not len(s) else _without(t, s, e) for t, s, e in zip(batch["text"], batch[starts_name], batch[ends_name], strict=True)]
+            yield batch.assign(text=texts).drop(columns=[starts_name, ends_name])
+
+    return work
+
+
+def _without(text: str, starts: np.ndarray, ends: np.ndarray) -> str:
+    spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    covered = _cover(starts, ends, len(spans))
+    out, at = [], 0
+    first, last = _runs(covered)
+    for i, j in zip(first.tolist(), last.tolist(), strict=True):
+        if covered[i]:
+            out.append(text[at : spans[i][0]])
+            at = spans[j + 1][0] if j + 1 < len(spans) else len(text)
+    return "".join([*out, text[at:]])
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
@@ -148,19 +152,18 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("s")).select("doc_id", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
 
 
-def _with_repeats(docs: DataFrame, work: Callable, schema: str) -> DataFrame:
-    runs = settle(find_repeats(docs), "repeats").withColumnRenamed("doc_id", "_id")
-    joined = docs.join(runs.hint("shuffle_hash"), docs["doc_id"] == F.col("_id"), "left").drop("_id")
-    return joined.mapInPandas(work, schema)
+def _with_repeats(docs: DataFrame, names: tuple[str, str], work: Callable, schema: str | StructType) -> DataFrame:
+    runs = settle(find_repeats(docs), "repeats").select(F.col("doc_id").alias(mine := free_name(docs, "_id")), F.col("starts").alias(names[0]), F.col("ends").alias(names[1]))
+    return docs.join(runs.hint("shuffle_hash"), docs["doc_id"] == runs[mine], "left").drop(mine).mapInPandas(work, schema)
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 for every row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _with_repeats(docs.select("doc_id", "text"), _digest, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return _with_repeats(docs.select("doc_id", "text"), ("starts", "ends"), _digest, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with the repeated passages cut from text; the other columns unchanged."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return _with_repeats(docs, _cut, schema)
+    names = free_name(docs, "starts"), free_name(docs, "ends")
+    return _with_repeats(docs, names, _cut(*names), docs.schema)
