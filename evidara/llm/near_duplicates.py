@@ -2,8 +2,9 @@
 
 1. Every text becomes a shingle set in one Python pass. Texts with equal sets form a class, known by a 128-bit hash of
    the set; all further work is on classes, so exact copies cost nothing more.
-2. 128 universal hash minima of a set make 32 bands of four, and a sketch of four bits of each. For a pair at the
-   threshold of 0.75, the chance that no band agrees is 5e-6.
+2. 128 universal hash minima of a set make 32 bands of four, and a sketch of four bits of each; 1024 parities of the
+   set join it, which bound the difference of two sets from below, without error. For a pair at the threshold of 0.75,
+   the chance that no band agrees is 5e-6.
 3. In every bucket with several classes, each class is compared with two of them (the least and greatest hash). Pairs
    whose signatures could reach the threshold are confirmed on full sets; alternating large-star and small-star makes
    clusters of the links. A bucket that lies in one cluster is settled.
@@ -33,6 +34,8 @@ from .shingles import mix, shingle_set
 HASHES, ROWS, SKETCH_LONGS, NIBBLES = 128, 4, 8, 16
 #: At a similarity of 0.75 a pair differs in 30 of 128 nibbles, with a deviation of 4.8; beyond this it is no candidate.
 MAX_DIFFERENT = 60
+#: Bits of a set's parity sketch: bit i is set if an odd number of shingles hash to i.
+PARITY_LONGS = 16
 _rng = np.random.default_rng(77)
 _A = _rng.integers(1, 2**63, HASHES, dtype=np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, HASHES, dtype=np.int64).view(np.uint64)
@@ -63,6 +66,11 @@ def _sketch(minima: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(nibbles << (np.arange(NIBBLES, dtype=np.uint64) * np.uint64(4)), axis=1)
 
 
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    bits = np.bincount((mix(shingles) % np.uint64(64 * PARITY_LONGS)).astype(np.int64), minlength=64 * PARITY_LONGS) & 1
+    return np.packbits(bits.astype(bool)).view(np.uint64)
+
+
 def _bands(minima: np.ndarray) -> np.ndarray:
     key = np.arange(HASHES // ROWS, dtype=np.uint64)
     for column in minima.reshape(-1, ROWS).T:
@@ -77,7 +85,7 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             shingles = shingle_set(_data(text))
             if len(shingles):
                 minima = _minima(shingles)
-                rows.append((doc_id, len(shingles), _class_of(shingles), _signed(_sketch(minima)), _signed(_bands(minima))))
+                rows.append((doc_id, len(shingles), _class_of(shingles), _signed(np.append(_sketch(minima), _parity(shingles))), _signed(_bands(minima))))
             else:
                 rows.append((doc_id, 0, None, None, None))
         yield pd.DataFrame(rows, columns=["doc_id", "n", "c", "sketch", "bands"]).astype({"doc_id": batch["doc_id"].dtype})
@@ -112,9 +120,16 @@ def _different(a: str, b: str) -> Column:
     return reduce(lambda p, q: p + q, [part(i) for i in range(SKETCH_LONGS)])
 
 
+def _odd(a: str, b: str) -> Column:
+    """In how many parity bits two sets differ; never more than the members that only one of them has."""
+    at = range(SKETCH_LONGS, SKETCH_LONGS + PARITY_LONGS)
+    return reduce(lambda p, q: p + q, [F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in at])
+
+
 def _plausible(na: str, nb: str, a: str, b: str) -> Column:
-    sizes = (100 * F.least(na, nb) >= 75 * F.greatest(na, nb))
-    return sizes & (_different(a, b) <= MAX_DIFFERENT)
+    """Whether a pair can be alike by 0.75: then at most a seventh of both sizes lies outside the intersection."""
+    sizes = 100 * F.least(na, nb) >= 75 * F.greatest(na, nb)
+    return sizes & (7 * _odd(a, b) <= F.col(na) + F.col(nb)) & (_different(a, b) <= MAX_DIFFERENT)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
