@@ -20,8 +20,10 @@ from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CHUNK, OVERLAP = 32_768, 1_024
@@ -41,6 +43,13 @@ def _ids(encoding, text: str) -> np.ndarray:
     return np.array(encoding.encode_ordinary(text), np.int32)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Small parts of the batches, so that what is made of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def boundaries(text: str) -> list[int]:
     """Where pre-tokens begin, and the end of the text."""
     import public_tokenizers
@@ -50,10 +59,12 @@ def boundaries(text: str) -> list[int]:
 
 
 def _encode_whole(vocabulary: str) -> Callable:
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = tokenizer(vocabulary)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [_ids(encoding, t or "") for t in batch["text"]]})
+        for batch in _slices(batches):
+            ids = [_ids(encoding, t or "") for t in batch["text"].to_pylist()]
+            offsets = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(offsets, np.concatenate(ids))], ["doc_id", "ids"])
 
     return work
 
@@ -106,11 +117,19 @@ def _encode_pieces(vocabulary: str, chunk: int) -> Callable:
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id and ids (array of int) for every row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    short, long = _by_length(docs, chunk + overlap)
+    return short.mapInArrow(_encode_whole(vocabulary), f"doc_id {kind}, ids array<int>").union(_encode_long(long, vocabulary, chunk, overlap))
+
+
+def _by_length(docs: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     docs = docs.select("doc_id", "text")
-    long = F.coalesce(F.length("text"), F.lit(0)) > chunk + overlap
-    short = docs.where(~long).mapInPandas(_encode_whole(vocabulary), f"doc_id {kind}, ids array<int>")
+    long = F.coalesce(F.length("text"), F.lit(0)) > most
+    return docs.where(~long), docs.where(long)
+
 
-    parts = docs.where(long).mapInPandas(_chunks(chunk, overlap), f"doc_id {kind}, key binary, size int, k int, start int, part string")
+def _encode_long(docs: DataFrame, vocabulary: str, chunk: int, overlap: int) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    parts = docs.mapInPandas(_chunks(chunk, overlap), f"doc_id {kind}, key binary, size int, k int, start int, part string")
     # The grouping deals a text's chunks out to all tasks; repeated rows meet and are counted.
     parts = parts.groupBy("doc_id", "key", "k", "start", "size").agg(F.first("part").alias("part"), F.count("*").alias("copies"))
     scanned = parts.mapInPandas(_scan(chunk, overlap), f"doc_id {kind}, key binary, k int, start int, size int, part string, copies long, head array<int>, tail array<int>")
@@ -126,33 +145,40 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, chunk: int = CHUNK, ov
     pieces = joined.mapInPandas(_encode_pieces(vocabulary, chunk), f"doc_id {kind}, key binary, k int, copies long, ids array<int>")
     whole = pieces.groupBy("doc_id", "key", "copies").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("p"))
     ids = F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids")
-    return short.union(whole.select("doc_id", ids, F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc_id", "ids"))
+    return whole.select("doc_id", ids, F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc_id", "ids")
 
 
-def _decode(vocabulary: str) -> Callable:
-    def work(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _decoded(vocabulary: str) -> Callable:
+    """Batches with ids, and the bytes of each row's ids."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = tokenizer(vocabulary)
-        for batch in batches:
-            yield pd.Series([encoding.decode_bytes(ids.tolist()) for ids in batch])
+        for batch in _slices(batches):
+            data = [None if ids is None else encoding.decode_bytes(ids) for ids in batch["ids"].to_pylist()]
+            yield batch.append_column("decoded", pa.array(data, pa.binary()))
 
     return work
 
 
-def decode(encoded: DataFrame, ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
-    """encoded with the bytes of its ids in a column decoded."""
-    udf = F.pandas_udf(_typed(_decode(vocabulary)), "binary")
-    return encoded.withColumn("decoded", udf(ids))
+def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """encoded with a column decoded, the bytes of its ids; null ids stay null."""
+    return encoded.mapInArrow(_decoded(vocabulary), StructType([*encoded.schema.fields, StructField("decoded", BinaryType())]))
 
 
-def _typed(work: Callable) -> Callable:
-    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        return work(batches)
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch["ids"].to_pylist()
+        sums = [hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids]
+        back = [hashlib.sha256(x).hexdigest() for x in batch["decoded"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(x) for x in ids], pa.int64()), pa.array(sums, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    decoded.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return decoded
 
+def digests(docs: DataFrame, vocabulary: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """doc_id, n_tokens, and the SHA-256 of the ids (decimal, joined by a space) and of the decoded bytes.
 
-def digests(docs: DataFrame, **options: str | int) -> DataFrame:
-    """doc_id, n_tokens, and the SHA-256 of the ids (decimal, joined by a space) and of the decoded bytes."""
-    both = decode(encode(docs, **options))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    Encoding, decoding and digests of short texts follow each other batch by batch in one Python worker.
+    """
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    encoded, decoded = _encode_whole(vocabulary), _decoded(vocabulary)
+    short, long = _by_length(docs, chunk + overlap)
+    return short.mapInArrow(lambda batches: _digested(decoded(encoded(batches))), schema).union(_encode_long(long, vocabulary, chunk, overlap).mapInArrow(lambda batches: _digested(decoded(batches)), schema))
