@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = "[a-z0-9]+"
@@ -15,6 +15,15 @@ def tokens(text: Column, pattern: str = TOKEN) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
 
 
+def fixed(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """df.select(*keep, columns by name), with each new column computed once for a row.
+
+    Filters on a plain projection's columns are moved below it with the expression in place of the name, and inside a
+    lambda that would be evaluated for every element. They stay above a generator.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def collapse(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, r"[ \t\n\r\f\u000B]+", " "))
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from .. import operators
-from ..operators import relational, texts
+from ..operators import dedup, relational, retrieval, texts
 from .registry import ORACLES, QUERIES, Query
 
-MODULES = (operators, relational, texts)
+MODULES = (operators, relational, texts, dedup, retrieval)
 
 
 def queries() -> dict[str, Query]:
