@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .. import operators
-from ..operators import dedup, relational, retrieval, texts
+from ..operators import chunking, dedup, governance, relational, retrieval, texts
+from ..streaming import turns
 from .registry import ORACLES, QUERIES, Query
 
-MODULES = (operators, relational, texts, dedup, retrieval)
+MODULES = (relational, texts, dedup, retrieval, chunking, governance, turns)
 
 
 def queries() -> dict[str, Query]:
