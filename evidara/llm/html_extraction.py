@@ -159,8 +159,10 @@ def _work(weights: dict[str, float]) -> Callable:
 
 def sample_weights(pages: DataFrame, max_pages: int = 400, max_chars: int = 100_000) -> dict[str, float]:
     """Weights from at most max_pages pages of at most max_chars characters, picked by hash."""
-    picked = pages.where(F.length("html").between(1, max_chars)).select("html", F.xxhash64("page_id", "url").alias("h")).orderBy("h", "html").limit(max_pages)
-    return learn_weights([r["html"] for r in picked.collect()])
+    fit = pages.where(F.length("html").between(1, max_chars)).withColumn("h", F.xxhash64("page_id", "url"))
+    hashes = [r["h"] for r in fit.select("h").orderBy("h").limit(max_pages).collect()]
+    rows = fit.where(F.col("h").isin(hashes)).select("h", "html").collect() if hashes else []
+    return learn_weights([r["html"] for r in sorted(rows, key=lambda r: (r["h"], r["html"]))[:max_pages]])
 
 
 def extract_pages(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
