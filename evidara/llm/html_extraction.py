@@ -33,9 +33,10 @@ NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies disqus footer gdpr header hidden masthead menu modal nav navbar navigation newsletter notice notices "
     "pagination pager popup promo promoted promotion recommended related reply replies respond search share sharing shares sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget alert contentinfo complementary".split()
 )
-WORD, LINKED = " word", " linked"
-DEFAULT = {WORD: 1.0, LINKED: -0.5}
-DEFAULT_TAG, LIGHT_TAG = -1.0, -0.05
+WORD, LINKED, APART, WITHIN = " word", " linked", " chrome apart", " chrome within"
+DEFAULT_TAG, LIGHT_TAG = -0.5, -0.05
+#: Chrome is passed over: where it stands in a text costs next to nothing.
+DEFAULT = {WORD: 1.0, LINKED: -0.5, APART: LIGHT_TAG, WITHIN: LIGHT_TAG} | dict.fromkeys("p h1 h2 h3 h4 li b i em strong br".split(), LIGHT_TAG)
 
 
 def _is_chrome(name: str, attributes: str, inside: bool) -> bool:
@@ -75,14 +76,13 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
                 depth += -1 if closing else 1
                 if not depth:
                     skip = ""
-                    yield name, "", content > 0
             elif closing and name in ("body", "html", "article", "main"):
                 skip = ""
             if skip:
                 continue
         if not closing and name not in VOID and not m[0].endswith("/>") and _is_chrome(name, m[4] or "", content > 0):
             skip, depth = name, 1
-            yield name, "", content > 0
+            yield (APART if name in BLOCKS else WITHIN), "", content > 0
             continue
         if name == "a":
             links = 0 if closing else 1
@@ -114,6 +114,7 @@ def learn_weights(pages: list[str]) -> dict[str, float]:
         return dict(DEFAULT)
     odds = {t: math.log((inside[t] + 1) / (n + 2)) - math.log((outside[t] + 1) / (m + 2)) for t in inside | outside}
     out = {t: min(LIGHT_TAG, max(-3.0, x)) for t, x in odds.items() if t not in (WORD, LINKED)}
+    out |= {APART: LIGHT_TAG, WITHIN: LIGHT_TAG}
     return out | {WORD: min(3.0, max(0.5, odds.get(WORD, 1.0))), LINKED: max(-1.0, min(0.5, odds.get(LINKED, -0.5)))}
 
 
@@ -130,15 +131,16 @@ def extract(page: str, weights: dict[str, float]) -> str:
             best, span = total, (start, i + 1)
     # The rest of the first and last block belongs to them.
     low, high = span
-    while low and found[low - 1][0] not in BLOCKS and low < high:
+    ends = BLOCKS | {APART}
+    while low and found[low - 1][0] not in ends and low < high:
         low -= 1
-    while high < len(found) and found[high][0] not in BLOCKS and low < high:
+    while high < len(found) and found[high][0] not in ends and low < high:
         high += 1
     blocks, parts = [], []
     for kind, value, _ in found[low:high]:
         if kind in (WORD, LINKED):
             parts.append(value)
-        elif kind in BLOCKS:
+        elif kind in BLOCKS or kind == APART:
             blocks.append("".join(parts))
             parts = []
         elif kind in ("br", "td", "th", "img"):
