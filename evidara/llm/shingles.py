@@ -48,9 +48,7 @@ def _pieces(data: bytes) -> Iterator[bytes]:
 
 def word_hashes(data: bytes) -> np.ndarray:
     """A 64-bit hash of each run of anything but ASCII white space."""
-    if len(data) > _PIECE:
-        return np.concatenate([word_hashes(x) for x in _pieces(data)] or [np.empty(0, np.uint64)]) if len(data) > 2 * _PIECE or b" " in data or b"\n" in data else _hash_piece(data)
-    return _hash_piece(data)
+    return np.concatenate([_hash_piece(x) for x in _pieces(data)])
 
 
 def _hash_piece(data: bytes) -> np.ndarray:
