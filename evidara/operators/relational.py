@@ -310,12 +310,12 @@ def ref_preservation(spark, d):
     return pairs.groupBy(F.col("l_suppkey").alias("supplier")).agg(F.count_if((F.col("a") == 1) & (F.col("b") == 1)).alias("preserved"), F.count_if(F.col("b") == 0).alias("missing"), F.count_if(F.col("a") == 0).alias("added"))
 
 
-@query("""WITH old AS (SELECT doc_id AS id, quality AS v FROM labels WHERE doc_id % 3 <> 0), new AS (SELECT doc_id AS id, toxic AS v FROM labels WHERE doc_id % 2 = 0)
+@query("""WITH old AS (SELECT o_custkey AS id, min(o_orderpriority) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), new AS (SELECT o_custkey AS id, min(o_orderpriority) AS v FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
 SELECT coalesce(old.id, new.id) AS id, coalesce(new.v, old.v) AS value, CASE WHEN old.id IS NULL THEN 'added' WHEN new.id IS NULL THEN 'kept' WHEN old.v = new.v THEN 'unchanged' ELSE 'replaced' END AS action FROM old FULL JOIN new ON old.id = new.id""")
 def decision_merge(spark, d):
-    """Upsert of one set of decisions into another; both sets are the feature, not a sample."""
-    labels = table(spark, d, "labels")
-    return merge_rows(labels.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), F.col("quality").alias("v")), labels.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("toxic").alias("v")))
+    """Upsert of one set of decisions into another: each customer's most urgent priority of finished and of pending orders."""
+    decided = lambda status: table(spark, d, "orders").where(F.col("o_orderstatus") == status).groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderpriority").alias("v"))
+    return merge_rows(decided("F"), decided("P"))
 
 
 def merge_rows(old: DataFrame, new: DataFrame) -> DataFrame:
