@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import settle
 
 OLD_SHARDS, SHARDS, LAW = 6, 8, "rows"
-PER_OCTAVE, BUCKET_ROWS = 8, 50_000
+PER_OCTAVE, STEPS, BUCKET_ROWS = 8, 16, 50_000
 
 
 def cheapest_flow(supply: dict[tuple[int, int], tuple[int, float]], floor: int, extra: int, shards: int) -> dict[tuple[int, int], list[tuple[int, int]]]:
@@ -93,8 +93,8 @@ def cheapest_flow(supply: dict[tuple[int, int], tuple[int, float]], floor: int,
     return out
 
 
-def size_class(size: Column) -> Column:
-    return F.floor(F.log2(size) * PER_OCTAVE).cast("int")
+def size_class(size: Column, parts: int = 1) -> Column:
+    return F.floor(F.log2(size) * PER_OCTAVE * parts).cast("int")
 
 
 def by_id(shards: int) -> Column:
@@ -105,7 +105,8 @@ def by_id(shards: int) -> Column:
 def reshard(docs: DataFrame, old_shard: Column | None = None, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, old_shard, shard, slot and moved for every row of docs.
 
-    old_shard: an int from 0 for every row; by default doc_id over six shards. Within a block the smallest rows move.
+    old_shard: an int from 0 for every row; by default doc_id over six shards. Within a block the smallest rows move, in
+    STEPS steps of size, so that a block has few buckets however many sizes its rows have.
     """
     old = by_id(OLD_SHARDS) if old_shard is None else old_shard
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -127,7 +128,8 @@ def reshard(docs: DataFrame, old_shard: Column | None = None, shards: int = SHAR
 
     most = max((n for n, _ in blocks.values()), default=0)
     buckets = max(1, -(-most // BUCKET_ROWS) * 4)
-    key = F.col("size") * buckets + F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets))
+    step = size_class(F.col("size"), STEPS).cast("long")
+    key = step * buckets + F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets))
     dealt = rows.withColumn("bucket", key)
     counts = dealt.groupBy("old", "class", "bucket").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("old", "class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
