@@ -138,8 +138,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("u", "v", "sa", "sb").mapInPandas(_confirm, "u binary, v binary")
 
 
-def _links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links of the first pass and of the second."""
+def _edges(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """Edges with the components of all links: from each node of the first pass to its cluster, and the second's links."""
     classes = settle(signed.where("c IS NOT NULL AND doc_id IS NOT NULL").select("c", "n", "sketch", "bands").dropDuplicates(["c"]), "classes")
     rows = classes.select("c", F.explode("bands").alias("b"))
     shared = rows.groupBy("b").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
@@ -163,14 +163,13 @@ def _links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     same_first = F.get(F.filter(F.zip_with("bandsa", "bandsb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), F.lit(0))
     pairs = a.join(b, (a["b"] == b["b"]) & (F.col("ca") < F.col("cb")) & (F.col("ka") != F.col("kb")) & _plausible("na", "nb", "sketcha", "sketchb") & (same_first == a["b"]))
     second = settle(_confirmed(pairs.select(F.col("ca").alias("u"), F.col("cb").alias("v")), sets), "links")
-    return first, second
+    return clusters.select(F.col("node").alias("u"), F.col("component").alias("v")).union(second)
 
 
 def find_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs."""
     signed = settle(docs.select("doc_id", "text").mapInPandas(_signatures, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, c binary, sketch array<long>, bands array<long>"), "signatures")
-    first, second = _links(docs, signed)
-    roots = connected_components(first.union(second)).select(F.col("node").alias("c"), "component")
+    roots = connected_components(_edges(docs, signed)).select(F.col("node").alias("c"), "component")
     placed = signed.select("doc_id", "n", "c").join(roots, "c", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "c")).alias("root"))
     least = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = placed.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
