@@ -16,30 +16,46 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import VOCABULARY, boundaries, tokenizer
 
 LEAF = 256
+#: A space between letters always begins a pre-token: no alternative of the pattern goes on over it.
+CERTAIN = regex.compile(r"(?<=\p{L}) (?=\p{L})")
 #: Beyond the end of a region, so that what touches the end is seen whole.
 LOOK = 64
 EDITS = "array<struct<at:int,removed:int,inserted:string>>"
 
 
+def leaf_ends(text: str) -> Iterator[int]:
+    """Ends of leaves, at boundaries of pre-tokens: certain ones, and in stretches without these whatever is found."""
+    at = 0
+    while at < len(text):
+        found = CERTAIN.search(text, at + LEAF)
+        end = found.start() if found else len(text)
+        if end - at >= 4 * LEAF:
+            last = at
+            for b in boundaries(text[at:end]):
+                if at + b - last >= LEAF and at + b < end:
+                    last = at + b
+                    yield last
+        yield end
+        at = end
+
+
 class SegmentTree:
     """Leaves of one text with sums of (characters, tokens)."""
 
     def __init__(self, text: str, encoding) -> None:
         self.encoding = encoding
-        at, self.leaves = 0, []
-        for b in boundaries(text):
-            if b - at >= LEAF:
-                self.leaves.append(text[at:b])
-                at = b
-        self.leaves.append(text[at:])
+        ends = [0, *leaf_ends(text)]
+        self.leaves = [text[a:b] for a, b in pairwise(ends)] or [""]
         self.width = 1 << max(0, len(self.leaves) - 1).bit_length()
         self.sums = [(0, 0)] * (2 * self.width)
         for i, leaf in enumerate(self.leaves):
