@@ -15,6 +15,19 @@ def tokens(text: Column, pattern: str = TOKEN) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
 
 
+def word_tokens(text: Column) -> Column:
+    """Maximal runs of Unicode word characters of the NFKC case-folded text, numbers as <number>; null text has none."""
+
+    def work(texts: pd.Series) -> pd.Series:
+        import re
+
+        one = lambda t: ["<number>" if w.isdigit() else w for w in re.findall(r"\w+", unicodedata.normalize("NFKC", t or "").casefold())]
+        return texts.map(one)
+
+    work.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(work, "array<string>")(F.coalesce(text, F.lit("")))
+
+
 def fixed(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:
     """df.select(*keep, columns by name), with each new column computed once for a row.
 
@@ -100,16 +113,18 @@ def simhash(words: Column) -> Column:
 
     def work(lists: pd.Series) -> pd.Series:
         import hashlib
+        from collections import Counter
+        from functools import lru_cache
 
         import numpy as np
 
+        digest = lru_cache(1 << 16)(lambda w: hashlib.sha256(w.encode()).digest()[:8])
+
         def one(ws) -> int:
-            ws = [] if ws is None else list(ws)
-            bits = np.zeros(64, np.int64)
-            for w in ws:
-                h = np.frombuffer(hashlib.sha256(w.encode()).digest()[:8], np.uint8)
-                bits += np.unpackbits(h).astype(np.int64) * 2 - 1
-            return int(np.packbits(bits >= 0).view(">i8")[0])
+            seen = Counter([] if ws is None else ws)
+            counts = np.fromiter(seen.values(), np.int64, len(seen))
+            bits = np.unpackbits(np.frombuffer(b"".join(map(digest, seen)), np.uint8)).reshape(len(seen), 64)
+            return int(np.packbits(2 * (counts @ bits) >= counts.sum()).view(">i8")[0])
 
         return lists.map(one)
 

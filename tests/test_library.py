@@ -94,6 +94,64 @@ def test_similar_pairs_match_brute_force(spark, sf_dir):
     assert found == want
 
 
+PLANTED = [
+    (1, "Prefix 10 was seen 4 times.", "a"), (2, "Prefix 11 was seen 9 times.", "a"), (3, "prefix  11 WAS seen 9 times", "a"), (4, "times 9 seen was prefix 11", "a"), (5, "Prefix 10 was seen 4 times.", "a"),
+    (6, "路由 在 中午 撤回", "a"), (7, "маршруты отозваны в полдень", "a"), (8, "!!!", "a"), (9, "???", "a"), (10, None, "a"), (None, "路由 在 中午 撤回!", "a"), (None, "null id alone here", None), (11, "Prefix 10 was seen 4 times.", "b"),
+    (12, "the table lists all peers of the exchange point today and was last changed in spring by hand", "a"), (13, "the table lists all peers of the exchange point today and was last changed in spring by us", "a"), (14, "null id alone here", None),
+]
+
+
+def reference_tokens(text):
+    import re
+    import unicodedata
+
+    return ["<number>" if w.isdigit() else w for w in re.findall(r"\w+", unicodedata.normalize("NFKC", text or "").casefold())]
+
+
+def test_simhash_pairs_match_brute_force(spark, sf_dir):
+    def simhash(tokens):
+        votes = [0] * 64
+        for t in tokens:
+            v = int.from_bytes(hashlib.sha256(t.encode()).digest()[:8], "big")
+            votes = [x + (1 if v >> i & 1 else -1) for i, x in enumerate(votes)]
+        return sum(1 << i for i, x in enumerate(votes) if x >= 0)
+
+    planted = spark.createDataFrame(PLANTED, "doc_id long, text string, source string")
+    rows = planted.unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") + 1000).alias("doc_id"), "text", "source").limit(300)).collect()
+    found = dedup.simhash_classes(spark.createDataFrame(rows, planted.schema)).collect()
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    hashes = [simhash(reference_tokens(r["text"])) for r in rows]
+    key = lambda x: str(x)
+    assert sorted(((r["right_id"], r["right_hash"]) for r in found if r["kind"] == "member"), key=key) == sorted(((r["doc_id"], signed(h)) for r, h in zip(rows, hashes, strict=True)), key=key)
+    linked = {(r["left_hash"], r["right_hash"]): r["distance"] for r in found if r["kind"] == "pair"}
+    every = sorted({signed(h) for h in hashes})
+    assert linked == {(a, b): n for i, a in enumerate(every) for b in every[i + 1 :] if (n := ((a ^ b) % (1 << 64)).bit_count()) <= 3}
+    of = {r["right_id"]: r["left_id"] for r in found if r["kind"] == "member" and r["right_id"]}
+    assert of[1] == of[2] == of[3] == of[4] == 1 and of[6] != of[7] and of[8] == of[9] == of[10]
+
+
+def test_near_classes_match_the_reference_rule(spark, sf_dir):
+    import unicodedata
+
+    planted = spark.createDataFrame(PLANTED, "doc_id long, text string, source string")
+    rows = planted.unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") + 1000).alias("doc_id"), "text", F.lit("one").alias("source")).limit(300)).collect()
+    found = dedup.near_classes(spark.createDataFrame(rows, planted.schema)).collect()
+    members = [r for r in found if r["kind"] == "member"]
+    assert len(members) == len(rows)
+    near = {(r["left_class"], r["right_class"]) for r in found if r["kind"] == "pair"}
+    near |= {(b, a) for a, b in near}
+    got = sorted(sorted([str(a["right_id"]), str(b["right_id"])]) for i, a in enumerate(members) for b in members[i + 1 :] if a["exact_hash"] != b["exact_hash"] and (a["left_class"] == b["left_class"] or (a["left_class"], b["left_class"]) in near))
+
+    def shingles(text):
+        w = reference_tokens(text)
+        return {" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
+
+    exact = lambda t: t if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).casefold()
+    all_ = [(r["doc_id"], r["source"], exact(r["text"]), shingles(r["text"])) for r in rows]
+    want = sorted(sorted([str(a[0]), str(b[0])]) for i, a in enumerate(all_) for b in all_[i + 1 :] if a[1] == b[1] and a[2] != b[2] and 5 * len(a[3] & b[3]) >= 4 * len(a[3] | b[3]))
+    assert got == want and ["1", "2"] in want and ["8", "9"] in want and ["12", "13"] in want
+
+
 def test_chunks_respect_bounds(spark, sf_dir):
     rows = chunking.split_content(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(F.length("content").alias("n")).collect()
     assert rows and all(chunking.MIN_CHARS <= r["n"] <= chunking.MAX_CHARS for r in rows)
