@@ -152,6 +152,15 @@ def test_near_classes_match_the_reference_rule(spark, sf_dir):
     assert got == want and ["1", "2"] in want and ["8", "9"] in want and ["12", "13"] in want
 
 
+def test_containment_finds_every_passage(spark):
+    passages = ["one two\nthree four five six seven", "alpha beta gamma delta epsilon zeta", "red green blue", "lone", "two words", "\tblank  runs inside\n\nof it ", "six plain words end right here", "absent from all of the texts", "a\u00a0b c"]
+    texts = ["x one two\nthree four five six seven y", "see 'alpha beta gamma delta epsilon zeta, and so on", "(red green blue)", "alonely", "[two words]", "q\tblank  runs inside\n\nof it r", "q blank runs inside of it r", "six plain words end right here", "six plain words end right hereafter", "one two three four five six seven", "xa\u00a0b cd", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([*enumerate(passages), (99, None)], "item_id long, text string")
+    want = {(d, i) for d, t in enumerate(texts) for i, p in enumerate(passages) if t is not None and p in t}
+    assert {tuple(r) for r in dedup.containment(docs, items).collect()} == want and len({i for _, i in want}) == 8
+
+
 def test_chunks_respect_bounds(spark, sf_dir):
     rows = chunking.split_content(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(F.length("content").alias("n")).collect()
     assert rows and all(chunking.MIN_CHARS <= r["n"] <= chunking.MAX_CHARS for r in rows)
