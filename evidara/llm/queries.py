@@ -21,7 +21,7 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = resharding.reshard(table(spark, sf_dir, "documents"))
+    placed = resharding.reshard_files(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 

@@ -13,12 +13,13 @@ Null texts have size 1. Repeated rows and equal texts are placed one by one. Row
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, shared_dir
 
 OLD_SHARDS, SHARDS, LAW = 6, 8, "rows"
 PER_OCTAVE, STEPS, BUCKET_ROWS = 8, 16, 50_000
@@ -143,14 +144,46 @@ def reshard(docs: DataFrame, old_shard: Column | None = None, shards: int = SHAR
     )
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
+def rewrite(docs: DataFrame, placed: DataFrame, path: str, old_shard: Column | None = None) -> list[int]:
     """Write the shards that gain or lose rows under path/shard=N and leave the others as they are; their numbers.
 
-    docs needs distinct doc_id. A rerun after a failure writes the same files again.
+    old_shard: as given to reshard. Every row of docs takes one place of its id, text and old shard; rows alike in these
+    are numbered, and a shard that any of them leaves or enters is written as a whole, so none is lost or doubled. The
+    folders of shards that became empty go. A rerun after a failure writes the same files again.
     """
-    moved = placed.where("moved")
-    affected = sorted(r["s"] for r in moved.select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct().collect())
-    where = placed.where(F.col("shard").isin(affected)).select("doc_id", "shard", "slot")
-    rows = docs.join(where, "doc_id").repartition("shard", F.pmod(F.col("slot"), F.lit(64))).sortWithinPartitions("shard", "slot")
+    spark = docs.sparkSession
+    affected = sorted(r["s"] for r in placed.where("moved").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct().collect())
+    if not affected:
+        return []
+    old = by_id(OLD_SHARDS) if old_shard is None else old_shard
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].alias("_id"), F.crc32(text).cast("long").alias("_crc"), (F.octet_length(text) + 1).cast("long").alias("_size"), old.alias("_old"))
+    place = placed.select(F.col("doc_id").alias("_pid"), F.col("text_crc32").alias("_pcrc"), F.col("size").alias("_psize"), F.col("old_shard").alias("_pold"), "shard", "slot")
+    row = row.withColumn("_copy", F.row_number().over(Window.partitionBy("_id", "_crc", "_size", "_old").orderBy(F.xxhash64("_row"))))
+    place = place.withColumn("_pcopy", F.row_number().over(Window.partitionBy("_pid", "_pcrc", "_psize", "_pold").orderBy("shard", "slot"))).where(F.col("shard").isin(affected))
+    same = F.col("_id").eqNullSafe(F.col("_pid"))
+    for x in ("crc", "size", "old", "copy"):
+        same = same & (F.col(f"_{x}") == F.col(f"_p{x}"))
+    rows = row.join(place, same).select("_row.*", "slot", "shard").repartition("shard", F.pmod(F.col("slot"), F.lit(64))).sortWithinPartitions("shard", "slot")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    full = {r["shard"] for r in placed.select("shard").distinct().collect()}
+    for shard in set(affected) - full:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     return affected
+
+
+def reshard_files(docs: DataFrame) -> DataFrame:
+    """What reshard gives, with the affected shards written in the shared folder and their rows taken from there."""
+    spark = docs.sparkSession
+    placed = settle(reshard(docs), "placed")
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    affected = rewrite(docs, placed, path)
+    if not affected:
+        return placed
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    written = spark.read.schema(docs.select("doc_id", "text", F.lit(0).cast("long").alias("slot"), F.lit(0).alias("shard")).schema).parquet(path)
+    written = written.withColumn("old_shard", by_id(OLD_SHARDS)).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), F.lit(LAW).alias("law"), "old_shard", "shard", "slot", (F.col("old_shard") != F.col("shard")).alias("moved"))
+    return written.unionByName(placed.where(~F.col("shard").isin(affected)))

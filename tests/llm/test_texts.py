@@ -80,6 +80,25 @@ def test_reshard(spark, edge_docs, docs, no_docs, tmp_path):
     assert {r["shard"] for r in back.select("shard").distinct().collect()} == set(affected)
 
 
+def test_rewritten_shards_hold_the_rows_read(spark, edge_docs, docs, tmp_path):
+    from pyspark.sql import functions as F
+
+    def lines(df):
+        return sorted(str(tuple(r)) for r in df.collect())
+
+    df = edge_docs.unionByName(edge_docs.withColumn("lang", F.lit("other")))
+    for k, (shards, old) in enumerate([(8, None), (3, None), (2, F.coalesce(F.length("lang"), F.lit(0)) % 5)]):
+        first = resharding.by_id(resharding.OLD_SHARDS) if old is None else old
+        path = str(tmp_path / f"s{k}")
+        df.withColumns({"slot": F.lit(-1).cast("long"), "shard": first}).write.partitionBy("shard").parquet(path)
+        placed = resharding.reshard(df, old, shards)
+        resharding.rewrite(df, placed, path, old)
+        back = spark.read.parquet(path)
+        assert lines(back.select(*df.columns)) == lines(df)
+        assert {r["shard"] for r in back.select("shard").distinct().collect()} <= set(range(shards))
+    assert lines(resharding.reshard_files(df).select("doc_id", "size", "text_crc32", "shard", "slot")) == lines(resharding.reshard(df).select("doc_id", "size", "text_crc32", "shard", "slot"))
+
+
 def test_flow_moves_the_fewest_bytes():
     supply = {(0, 1): (10, 5.0), (0, 2): (10, 50.0), (1, 1): (3, 1.0), (2, 1): (1, 9.0)}
     flow = resharding.cheapest_flow(supply, 8, 0, 3)
