@@ -161,6 +161,30 @@ def test_containment_finds_every_passage(spark):
     assert {tuple(r) for r in dedup.containment(docs, items).collect()} == want and len({i for _, i in want}) == 8
 
 
+def test_bm25_of_many_questions_is_bm25_of_each(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    asked = spark.createDataFrame([(0, " ".join(retrieval.QUERY_TERMS)), (1, "the of and"), (2, "zzzznothing"), (3, "")], "query_id long, text string")
+    got = retrieval.bm25_many(docs, asked, 8).collect()
+    assert {r["query_id"] for r in got} == {0, 1}
+    for i, terms in ((0, retrieval.QUERY_TERMS), (1, ["the", "of", "and"])):
+        found = [(r["doc_id"], round(r["score"], 5)) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == i]
+        assert found == [(r["doc_id"], round(r["score"], 5)) for r in retrieval.bm25(docs, terms, 8).collect()]
+
+
+def test_retrieval_eval_shows_ranks_and_misses(spark):
+    texts = ["apple pear", "apple apple apple pear pear", "plum fig", "kiwi", *[f"filler number {i}" for i in range(20)], "xlime"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, "apple pear pear"), (2, "plum fig"), (3, "lime"), (4, "pear p"), (5, "nowhere"), (6, "kiwi plum")], "item_id long, text string")
+    r = retrieval.evaluate_retrieval(docs, items).first()
+    # 2 is found first; 3 lies inside a word, which BM25 misses; 1 has its only document at some rank; 4 ranks pear by length.
+    by = {(x["query_id"], x["doc_id"]): x["rank"] for x in retrieval.bm25_many(docs, items.withColumnRenamed("item_id", "query_id"), 8).collect()}
+    ranks = [by.get(k) for k in ((1, 1), (2, 2), (3, 24), (4, 1))]
+    assert ranks[1] == 1 and ranks[2] is None and ranks[3] is not None
+    mrr = sum(1 / x for x in ranks if x) / 4
+    assert (r["questions"], r["with_evidence"], r["answered"], r["recall_at_8"]) == (6, 4, 3, 0.75)
+    assert r["mrr"] == round(mrr, 6) and r["mrr_all"] == round(mrr * 4 / 6, 6) and r["no_evidence_rejection_rate"] == 0.5
+
+
 def test_chunks_respect_bounds(spark, sf_dir):
     rows = chunking.split_content(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(F.length("content").alias("n")).collect()
     assert rows and all(chunking.MIN_CHARS <= r["n"] <= chunking.MAX_CHARS for r in rows)
