@@ -3,11 +3,14 @@
 Rows lie in old shards and are to lie in new ones whose row counts differ by one at most (law ``rows``). Blocks are the
 rows of one old shard and one size class (eight to an octave); there are a few thousand at most, however many rows. A
 flow from blocks to shards costs nothing where a block stays and its mean bytes a row where it moves; the cheapest flow
-that fills the capacities moves the fewest bytes. Blocks go whole or up to one cut, and a row's ordinal within its
-block, found by counts of small buckets and a window inside each, tells its new shard and its slot there.
+that fills the capacities moves the fewest bytes. Blocks go whole or up to a cut, of which there are two a shard or so.
+Within a block rows are ordered by size and then by a hash of the row, smallest first to move; the key at each cut is
+found by counting ranges, so a row's new shard follows from its own block and key, without a shuffle. Affected shards
+are then written, with one shuffle of their rows, and a row's slot is its place in the files of its shard.
 
-Null texts have size 1. Repeated rows and equal texts are placed one by one. Rows with a null doc_id lie in old shard
-0. Tables smaller than the number of shards leave shards empty. Other columns are not looked at.
+Null texts have size 1. Rows alike in every column are interchangeable; where a cut falls among them they are counted,
+and the counts dealt out. Rows with a null doc_id lie in old shard 0. Tables smaller than the number of shards leave
+shards empty. Columns of any name are carried along.
 """
 
 from __future__ import annotations
@@ -15,14 +18,17 @@ from __future__ import annotations
 import heapq
 import uuid
 from collections import defaultdict
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import settle, shared_dir
 
 OLD_SHARDS, SHARDS, LAW = 6, 8, "rows"
-PER_OCTAVE, STEPS, BUCKET_ROWS = 8, 16, 50_000
+PER_OCTAVE, HASH_BITS = 8, 31
+#: Ranges counted at once in the search for the cuts, over all of them.
+RANGES = 65_536
 
 
 def cheapest_flow(supply: dict[tuple[int, int], tuple[int, float]], floor: int, extra: int, shards: int) -> dict[tuple[int, int], list[tuple[int, int]]]:
@@ -94,96 +100,166 @@ def cheapest_flow(supply: dict[tuple[int, int], tuple[int, float]], floor: int,
     return out
 
 
-def size_class(size: Column, parts: int = 1) -> Column:
-    return F.floor(F.log2(size) * PER_OCTAVE * parts).cast("int")
-
-
 def by_id(shards: int) -> Column:
     """Old shard by doc_id."""
     return F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)), F.lit(shards)).cast("int")
 
 
-def reshard(docs: DataFrame, old_shard: Column | None = None, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, law, old_shard, shard, slot and moved for every row of docs.
+def _bytes() -> Column:
+    return F.coalesce(F.col("text"), F.lit("")).cast("binary")
 
-    old_shard: an int from 0 for every row; by default doc_id over six shards. Within a block the smallest rows move, in
-    STEPS steps of size, so that a block has few buckets however many sizes its rows have.
-    """
-    old = by_id(OLD_SHARDS) if old_shard is None else old_shard
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), old.alias("old"))
-    rows = settle(rows.withColumn("class", size_class(F.col("size"))), "sizes")
-    blocks = {(r["old"], r["class"]): (r["n"], r["bytes"]) for r in rows.groupBy("old", "class").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()}
-    total = sum(n for n, _ in blocks.values())
-    # Stays are taken from a block's large end, so what moves comes first.
-    flow = cheapest_flow({b: (n, size / n) for b, (n, size) in blocks.items()}, total // shards, total % shards, shards)
-    taken: dict[int, int] = defaultdict(int)
-    pieces = []
-    for (o, c), parts in sorted(flow.items()):
-        low = 0
-        for shard, n in [*parts[1:], parts[0]] if parts[0][0] == o else parts:
-            pieces.append((o, c, low, low + n, shard, taken[shard]))
-            low, taken[shard] = low + n, taken[shard] + n
+
+def size_of() -> Column:
+    return (F.octet_length(_bytes()) + 1).cast("long")
+
+
+@dataclass
+class Moves:
+    """Which rows go where: ranges of keys of each block, and shares of those rows that are alike at a cut."""
+
+    old_shard: Column
+    pieces: list[tuple] = field(default_factory=list)  # old, class, low key, high key (exclusive), shard
+    ties: list[tuple] = field(default_factory=list)  # old, class, key, first and last + 1 of the rows with it, shard
+    affected: set[int] = field(default_factory=set)
+    filled: set[int] = field(default_factory=set)
+    moved_bytes: float = 0.0
+
+
+def _keyed(docs: DataFrame, old: Column) -> DataFrame:
+    """docs as _row, with the block and the key of each row."""
+    hashed = [docs[c] for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    key = F.shiftleft(size_of(), HASH_BITS).bitwiseOR(F.xxhash64(*hashed).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), old.alias("_old"), F.floor(F.log2(size_of()) * PER_OCTAVE).cast("int").alias("_class"), key.alias("_key"))
+
+
+def _keys_at(rows: DataFrame, cuts: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """For each cut (old, class, ordinal, low, high): the key of the row at the ordinal, how many rows of the block lie
+    below that key, and how many have it. Each round counts the ranges of what is left of every block."""
+    spark = rows.sparkSession
+    state = {i: (low, high, 0, 0) for i, (*_, low, high) in enumerate(cuts)}  # the key lies in [low, high); rows below, rows in it
+    ranges = max(16, RANGES // max(1, len(cuts)))
+    while todo := [(i, *cuts[i][:2], low, high, -(-(high - low) // ranges)) for i, (low, high, _, n) in state.items() if high - low > 1 or not n]:
+        near = spark.createDataFrame(todo, "_cut int, _o int, _c int, low long, high long, width long")
+        inside = (F.col("_old") == F.col("_o")) & (F.col("_class") == F.col("_c")) & (F.col("_key") >= F.col("low")) & (F.col("_key") < F.col("high"))
+        ranged = rows.join(F.broadcast(near), inside).groupBy("_cut", F.expr("(_key - low) div width").alias("range")).agg(F.count("*").alias("n"))
+        counts = defaultdict(dict)
+        for r in ranged.collect():
+            counts[r["_cut"]][r["range"]] = r["n"]
+        for i, _, _, low, high, width in todo:
+            below, at = state[i][2], -1
+            for at, n in sorted(counts[i].items()):
+                if below + n > cuts[i][2]:
+                    state[i] = (low + at * width, min(high, low + (at + 1) * width), below, n)
+                    break
+                below += n
+    return [(low, below, n) for low, _, below, n in state.values()]
+
+
+def plan(docs: DataFrame, old_shard: Column | None = None, shards: int = SHARDS) -> Moves:
+    """old_shard: an int from 0 for every row; by default doc_id over six shards."""
+    out = Moves(by_id(OLD_SHARDS) if old_shard is None else old_shard)
+    rows = settle(_keyed(docs, out.old_shard).drop("_row"), "keys")
+    found = rows.groupBy("_old", "_class").agg(F.count("*").alias("n"), F.sum(F.shiftright("_key", HASH_BITS)).alias("bytes"), F.min("_key").alias("low"), F.max("_key").alias("high")).collect()
+    blocks = {(r["_old"], r["_class"]): r for r in found}
+    total = sum(r["n"] for r in found)
+    flow = cheapest_flow({b: (r["n"], r["bytes"] / r["n"]) for b, r in blocks.items()}, total // shards, total % shards, shards)
+    cuts, parts_of = [], {}
+    for b, parts in sorted(flow.items()):
+        # Stays are taken from a block's large end, so what moves comes first.
+        parts_of[b] = [*parts[1:], parts[0]] if parts[0][0] == b[0] else parts
+        at = 0
+        for shard, n in parts_of[b]:
+            out.filled.add(shard)
+            if shard != b[0]:
+                out.affected |= {shard, b[0]}
+            if (at := at + n) < blocks[b]["n"]:
+                cuts.append((*b, at, blocks[b]["low"], blocks[b]["high"] + 1))
+    keys = iter(_keys_at(rows, cuts))
+    for (o, c), parts in parts_of.items():
+        low, at, tie = blocks[o, c]["low"], 0, None  # tie: key, rows below it and with it, if a cut fell among these
+        for shard, n in parts:
+            at += n
+            last = at == blocks[o, c]["n"]
+            key, below, alike = (blocks[o, c]["high"] + 1, at, 0) if last else next(keys)
+            if tie and tie[0] != key:
+                out.ties.append((o, c, tie[0], at - n - tie[1], tie[2], shard))
+                low, tie = tie[0] + 1, None
+            if tie:
+                out.ties.append((o, c, key, at - n - below, at - below, shard))
+                continue
+            if low < key:
+                out.pieces.append((o, c, low, key, shard))
+            low = key
+            if at > below:
+                out.ties.append((o, c, key, 0, at - below, shard))
+                tie = (key, below, alike)
+    return out
+
+
+def assign(docs: DataFrame, moves: Moves) -> DataFrame:
+    """docs as _row, with its new _shard."""
     spark = docs.sparkSession
-    plan = spark.createDataFrame(pieces, "_old int, _class int, low long, high long, shard int, base long")
-
-    most = max((n for n, _ in blocks.values()), default=0)
-    buckets = max(1, -(-most // BUCKET_ROWS) * 4)
-    step = size_class(F.col("size"), STEPS).cast("long")
-    key = step * buckets + F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets))
-    dealt = rows.withColumn("bucket", key)
-    counts = dealt.groupBy("old", "class", "bucket").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("old", "class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select(F.col("old").alias("_o"), F.col("class").alias("_c"), F.col("bucket").alias("_b"), F.coalesce("before", F.lit(0)).alias("before"))
-    inner = Window.partitionBy("old", "class", "bucket").orderBy("doc_id", "text_crc32")
-    placed = dealt.withColumn("rank", F.row_number().over(inner)).join(before, (F.col("old") == F.col("_o")) & (F.col("class") == F.col("_c")) & (F.col("bucket") == F.col("_b")))
-    placed = placed.withColumn("ordinal", F.col("before") + F.col("rank") - 1)
-    there = (F.col("old") == F.col("_old")) & (F.col("class") == F.col("_class")) & (F.col("ordinal") >= F.col("low")) & (F.col("ordinal") < F.col("high"))
-    return placed.join(F.broadcast(plan), there).select(
-        "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), F.col("old").alias("old_shard"), "shard", (F.col("base") + F.col("ordinal") - F.col("low")).alias("slot"), (F.col("old") != F.col("shard")).alias("moved"),
-    )
+    keyed = _keyed(docs, moves.old_shard)
+    same = (F.col("_old") == F.col("_o")) & (F.col("_class") == F.col("_c"))
+    pieces = spark.createDataFrame(moves.pieces, "_o int, _c int, low long, high long, _shard int")
+    placed = keyed.join(F.broadcast(pieces), same & (F.col("_key") >= F.col("low")) & (F.col("_key") < F.col("high"))).select("_row", "_shard")
+    if not moves.ties:
+        return placed
+    ties = spark.createDataFrame(moves.ties, "_o int, _c int, _k long, first long, stop long, _shard int")
+    same = same & (F.col("_key") == F.col("_k"))
+    # Counted in 64 parts each, so that no task deals out all copies of one row.
+    alike = keyed.join(F.broadcast(ties.select("_o", "_c", "_k").distinct()), same, "left_semi").withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
+    counted = settle(alike.groupBy("_old", "_class", "_key", "_part", "_row").agg(F.count("*").alias("_n")), "alike")
+    before = F.sum("_n").over(Window.partitionBy("_old", "_class", "_key").orderBy(F.xxhash64("_row"), "_part").rowsBetween(Window.unboundedPreceding, -1))
+    ranged = settle(counted.withColumn("_from", F.coalesce(before, F.lit(0))), "ranged")
+    overlap = F.least(F.col("_from") + F.col("_n"), F.col("stop")) - F.greatest("_from", "first")
+    shares = ranged.join(F.broadcast(ties), same).withColumn("_take", overlap).where("_take > 0")
+    return placed.union(shares.select("_row", "_shard", F.explode(F.sequence(F.lit(1).cast("long"), "_take")).alias("_i")).select("_row", "_shard"))
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, path: str, old_shard: Column | None = None) -> list[int]:
-    """Write the shards that gain or lose rows under path/shard=N and leave the others as they are; their numbers.
+def rewrite(docs: DataFrame, moves: Moves, path: str) -> list[int]:
+    """Write the shards that gain or lose rows, and those not yet there, under path/_shard=N; their numbers.
 
-    old_shard: as given to reshard. Every row of docs takes one place of its id, text and old shard; rows alike in these
-    are numbered, and a shard that any of them leaves or enters is written as a whole, so none is lost or doubled. The
-    folders of shards that became empty go. A rerun after a failure writes the same files again.
+    Other shards keep their files. Folders of shards that became empty go. A rerun after a failure writes the same rows.
     """
     spark = docs.sparkSession
-    affected = sorted(r["s"] for r in placed.where("moved").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct().collect())
-    if not affected:
-        return []
-    old = by_id(OLD_SHARDS) if old_shard is None else old_shard
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].alias("_id"), F.crc32(text).cast("long").alias("_crc"), (F.octet_length(text) + 1).cast("long").alias("_size"), old.alias("_old"))
-    place = placed.select(F.col("doc_id").alias("_pid"), F.col("text_crc32").alias("_pcrc"), F.col("size").alias("_psize"), F.col("old_shard").alias("_pold"), "shard", "slot")
-    row = row.withColumn("_copy", F.row_number().over(Window.partitionBy("_id", "_crc", "_size", "_old").orderBy(F.xxhash64("_row"))))
-    place = place.withColumn("_pcopy", F.row_number().over(Window.partitionBy("_pid", "_pcrc", "_psize", "_pold").orderBy("shard", "slot"))).where(F.col("shard").isin(affected))
-    same = F.col("_id").eqNullSafe(F.col("_pid"))
-    for x in ("crc", "size", "old", "copy"):
-        same = same & (F.col(f"_{x}") == F.col(f"_p{x}"))
-    rows = row.join(place, same).select("_row.*", "slot", "shard").repartition("shard", F.pmod(F.col("slot"), F.lit(64))).sortWithinPartitions("shard", "slot")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    full = {r["shard"] for r in placed.select("shard").distinct().collect()}
-    for shard in set(affected) - full:
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    return affected
-
-
-def reshard_files(docs: DataFrame) -> DataFrame:
-    """What reshard gives, with the affected shards written in the shared folder and their rows taken from there."""
+    files, _ = _folder(spark, path)
+    there = lambda shard: files.exists(_folder(spark, f"{path}/_shard={shard}")[1])
+    todo = sorted(moves.affected | {s for s in moves.filled if not there(s)})
+    rows = assign(docs, moves).where(F.col("_shard").isin(todo)).hint("rebalance", F.col("_shard"))
+    rows.select("_row.*", "_shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_shard").parquet(path)
+    for shard in set(todo) - moves.filled:
+        files.delete(_folder(spark, f"{path}/_shard={shard}")[1], True)
+    return todo
+
+
+def located(docs: DataFrame, path: str) -> DataFrame:
+    """The rows written under path, with _shard and _slot: their place in the shard, by file and by row of the file.
+
+    docs: anything with the columns that were written.
+    """
+    written = docs.sparkSession.read.schema(docs.withColumn("_shard", F.lit(0)).schema).parquet(path)
+    at = F.col("_metadata.file_path")
+    files = written.select("_shard", at.alias("_file")).groupBy("_shard", "_file").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_shard").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+    files = settle(files.select(F.col("_file").alias("_in"), F.coalesce(before, F.lit(0)).alias("_before")), "files")
+    rows = written.select("*", at.alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    return rows.join(files, F.col("_file") == F.col("_in")).withColumn("_slot", F.col("_before") + F.col("_index")).drop("_file", "_in", "_before", "_index")
+
+
+def reshard(docs: DataFrame, old_shard: Column | None = None, shards: int = SHARDS) -> DataFrame:
+    """doc_id, size, text_crc32, law, old_shard, shard, slot and moved for every row of docs, read from the new shards."""
     spark = docs.sparkSession
-    placed = settle(reshard(docs), "placed")
+    moves = plan(docs, old_shard, shards)
     path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    affected = rewrite(docs, placed, path)
-    if not affected:
-        return placed
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    written = spark.read.schema(docs.select("doc_id", "text", F.lit(0).cast("long").alias("slot"), F.lit(0).alias("shard")).schema).parquet(path)
-    written = written.withColumn("old_shard", by_id(OLD_SHARDS)).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), F.lit(LAW).alias("law"), "old_shard", "shard", "slot", (F.col("old_shard") != F.col("shard")).alias("moved"))
-    return written.unionByName(placed.where(~F.col("shard").isin(affected)))
+    rewrite(docs, moves, path)
+    files, at = _folder(spark, path)
+    files.deleteOnExit(at)
+    return located(docs, path).select(
+        "doc_id", size_of().alias("size"), F.crc32(_bytes()).cast("long").alias("text_crc32"), F.lit(LAW).alias("law"), moves.old_shard.alias("old_shard"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), (moves.old_shard != F.col("_shard")).alias("moved"),
+    )
