@@ -28,14 +28,24 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df once as a table in the shared folder and read it back, which cuts its lineage.
 
-    A lost executor then costs a reread, not a recomputation. The table goes when the application ends.
+    A lost executor then costs a reread, not a recomputation. The table goes when the application ends, or by discard.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of settled tables that nothing will read again; other tables are left alone."""
+    for df in tables:
+        if path := getattr(df, "_settled_at", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def words_of(text: Column) -> Column:

@@ -1,3 +1,5 @@
+import random
+
 import brute
 import pytest
 from pyspark.sql import functions as F
@@ -70,3 +72,23 @@ def test_substring_dedup_boundaries(spark):
     w = [f"w{i}" for i in range(200)]
     texts = [(1, " ".join(w)), (2, " ".join(["a"] * 30 + w[20:69] + ["b"])), (3, " ".join(["c"] + w[20:70] + ["d"] * 60)), (4, " ".join(w[100:160] + ["e"] + w[20:75])), (5, " ".join(["d"] * 60))]
     assert rows(substring_dedup.judge(spark.createDataFrame(texts, "doc_id long, text string"))) == sorted(brute.repeats(texts), key=key)
+
+
+def test_substring_dedup_of_long_shared_passages(spark):
+    rnd = random.Random(3)
+    passages = [[f"p{k}_{i}" for i in range(n)] for k, n in enumerate((60, 400, 49, 50, 51, 2000))] + [["again"] * 300]
+    texts = []
+    for i in range(40):
+        w = []
+        for _ in range(rnd.randint(1, 5)):
+            p = rnd.choice(passages)
+            a = rnd.choice([0, 0, 0, rnd.randrange(len(p))])
+            w += p[a : rnd.choice([len(p), len(p), rnd.randint(a, len(p))])] + [f"own{i}_{rnd.random()}" for _ in range(rnd.choice([0, 3, 70]))]
+        texts.append((i // 2 if i % 7 == 0 else i, " ".join(w)))
+    texts += texts[:6]
+    assert rows(substring_dedup.judge(spark.createDataFrame(texts, "doc_id long, text string"))) == sorted(brute.repeats(texts), key=key)
+
+
+def test_chains_of_fragments_compact(spark):
+    arcs = spark.createDataFrame([(i, i - 1) for i in range(1, 70)] + [(200, 100)], "node long, up long")
+    assert {r["node"]: r["up"] for r in substring_dedup._compacted(arcs).collect()} == {i: 0 for i in range(1, 70)} | {200: 100}
