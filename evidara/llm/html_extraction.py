@@ -1,14 +1,21 @@
 """Main text of web pages by the maximum-scoring subsequence of their tokens.
 
-A page is a sequence of words and tags. Words score above zero and tags below, by log-odds learnt from labelled pages:
-those of a bounded sample that mark their content with one article or main element. Words in links have a weight of
-their own. One linear scan finds the contiguous run of tokens with the greatest sum; its words are the content. What is
-chrome by its element, role or class (menus, forms, adverts, comments and so on) is passed over by the scan and never
-part of the text.
-
-Null and empty html gives an empty text, as does a page without words. A page of unclosed, broken or very long markup
-is scanned like any other. Repeated rows are all returned; other columns are not looked at. Ties go to the earliest
-run. Without labelled pages fixed weights serve.
+A page is a sequence of words and tags. Every tag scores below zero, by the share of its kind that labelled pages have
+outside their content. A word scores 1 where nothing speaks against it, down to -1: 1 - 2 * s, with s the greatest share
+outside content of what encloses it, by element, class, id or role. Below zero the words of one text count by their
+logarithm, so that the scan passes over an advert inside an article. One linear scan finds the contiguous run of tokens
+with the greatest sum, the content region; its words that score above zero are the text.
+
+The shares are learnt from labelled pages, those of a bounded sample that mark their content with one article or main
+element; each word outside or inside counts for the outermost element around it that has a name or a kind. They begin
+with the pseudo-counts of ``PRIOR``, so that what no labelled page shows is judged too. A name of several parts counts
+only if every part is known: "comment-list" does, "notice-period" does not. A named element is not believed to be
+chrome if it holds more words than all that reads as content, times the odds of its name: a "page-header-wrap" around
+the whole page is passed through.
+
+Null and empty html gives an empty text, as does a page without words of content. A page of unclosed, broken or very
+long markup is scanned like any other, in linear time. Repeated rows are all returned; other columns are not looked at.
+Ties go to the earliest run. Without labelled pages the prior serves.
 """
 
 from __future__ import annotations
@@ -18,139 +25,257 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|title|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?/][^>]*>?", re.S | re.I)
-NAMED = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-# Elements that end a block, elements that are chrome, and names in class, id or role that are.
+TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>""")
+NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+# Elements whose content is no text, elements that end a block, elements without an end tag.
+RAW = frozenset("script style noscript template svg textarea title iframe math".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CHROME = frozenset("head nav aside footer form button select dialog menu object canvas".split())
-NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies disqus footer gdpr header hidden masthead menu modal nav navbar navigation newsletter notice notices "
-    "pagination pager popup promo promoted promotion recommended related reply replies respond search share sharing shares sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget alert contentinfo complementary".split()
-)
-WORD, LINKED, APART, WITHIN = " word", " linked", " chrome apart", " chrome within"
-DEFAULT_TAG, LIGHT_TAG = -0.5, -0.05
-#: Chrome is passed over: where it stands in a text costs next to nothing.
-DEFAULT = {WORD: 1.0, LINKED: -0.5, APART: LIGHT_TAG, WITHIN: LIGHT_TAG} | dict.fromkeys("p h1 h2 h3 h4 li b i em strong br".split(), LIGHT_TAG)
-
-
-def _is_chrome(name: str, attributes: str, inside: bool) -> bool:
-    if name in CHROME:
-        return True
-    if name == "header":
-        return not inside
-    if name in ("article", "main", "body", "html") or not attributes:
-        return False
+#: An open element on the left ends where one on the right begins.
+ENDS = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr", "tbody", "tfoot"}, "option": {"option"}}
+ENDING = frozenset().union(*ENDS.values())
+#: What those implied ends do not reach across.
+HOLDERS = frozenset("article aside blockquote body div dl footer form header main nav ol section table td th ul".split())
+COMMENTS = frozenset((".comment", ".comments", ".commentlist"))
+CONTENT, NEUTRAL = ("article", "main"), frozenset("html body article main".split())
+# Pseudo-counts of words (inside, outside) that learning starts from, by element, and by part of a name.
+PRIOR_TAGS = dict.fromkeys("nav aside footer form button select dialog menu object canvas head".split(), (1, 30)) | {"header": (2, 20), "header within": (20, 1), "a": (6, 2)} | dict.fromkeys("p h1 h2 h3 h4 h5 h6 li b i em strong br blockquote pre td th tr table figure figcaption ul ol dl dt dd code span sup sub".split(), (20, 1))
+PRIOR_NAMES = (
+    dict.fromkeys("comment comments commentlist reply replies respond disqus hidden".split(), (1, 500))
+    | dict.fromkeys(
+        "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline complementary consent contentinfo cookie cookies footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted "
+        "promotion recommended related search share sharing shares sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget alert".split(), (1, 30),
+    )
+    | {"header": (2, 20)}
+    | dict.fromkeys("article body content entry story post main text title headline prose with has no without".split(), (500, 1))
+)
+#: Parts of names that say nothing by themselves.
+PLAIN = frozenset("area bar block bottom box button buttons container inner item items left links list main outer page panel posts region right row section site slot small top unit wrap wrapper x".split())
+UNKNOWN = (4, 1)
+#: What a tag costs that is never seen in content; the words that a page is taken to hold of content at least.
+TAG_SCORE, LEAST_READ = 0.2, 3
+
+
+@dataclass
+class Weights:
+    """Words inside and outside content by kind of element and name, and how often tags stand there."""
+
+    words: dict[str, tuple[float, float]] = field(default_factory=dict)
+    tags: dict[str, tuple[float, float]] = field(default_factory=dict)
+
+    def counts(self, feature: str) -> tuple[float, float]:
+        """Words inside and outside, prior ones included, of a tag ("nav") or a name (".ad")."""
+        prior = PRIOR_TAGS.get(feature, UNKNOWN)
+        if feature[0] == ".":
+            parts = [x for x in re.split(r"[^a-z0-9]+", feature) if x and not x.isdigit()]
+            known = [PRIOR_NAMES[x] for x in parts if x in PRIOR_NAMES]
+            prior = UNKNOWN
+            if known and all(x in PRIOR_NAMES or x in PLAIN for x in parts):
+                prior = max(known, key=lambda x: x[0])  # what speaks for content counts before what does not
+        a, b = self.words.get(feature, (0, 0))
+        return prior[0] + a, prior[1] + b
+
+    def outside(self, feature: str) -> float:
+        a, b = self.counts(feature)
+        return b / (a + b)
+
+    def tag(self, name: str) -> float:
+        a, b = PRIOR_TAGS.get(name, UNKNOWN)
+        c, d = self.tags.get(name, (0, 0))
+        return -TAG_SCORE * (b + d) / (a + b + c + d)
+
+
+@dataclass
+class Token:
+    """A tag by name, or a text (name empty) with its number of words and the elements around it, outermost first."""
+
+    name: str
+    text: str = ""
+    words: int = 0
+    around: tuple[int, ...] = ()
+    labelled: bool = False
+
+    @property
+    def kind(self) -> str:
+        return _kind(self.name, self.labelled)
+
+
+def _kind(name: str, inside: bool) -> str:
+    return f"{name} within" if name == "header" and inside else name
+
+
+def _features(name: str, attributes: str, inside: bool) -> list[str]:
+    """Names of an element in class, id or role; if it has none, its kind."""
+    found = []
     for key, value in NAMED.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if key in ("class", "id", "role") and not NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
-
-
-def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
-    """(kind, value, labelled) for each tag and text outside chrome: tags by name, text as WORD or LINKED.
-
-    labelled: inside an article or main element.
-    """
-    at, skip, depth, links, content = 0, "", 0, 0, 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at and not skip:
-            yield (LINKED if links else WORD), page[at : m.start()], content > 0
-        at = m.end()
-        name = (m[3] or "").lower()
-        if not name:
-            continue
-        closing = m[2] == "/"
-        if skip and not closing and name in ("article", "main"):
-            skip = ""  # the chrome before it was never closed
-        if skip:
-            if name == skip:
-                depth += -1 if closing else 1
-                if not depth:
-                    skip = ""
-            elif closing and name in ("body", "html", "article", "main"):
-                skip = ""
-            if skip:
+            found.append(".hidden")
+        elif key in ("class", "id", "role"):
+            found += ["." + x for x in value.split()]
+    kind = _kind(name, inside)
+    return [*found, kind] if found and kind in PRIOR_TAGS and PRIOR_TAGS[kind][1] > 2 else found or [kind]
+
+
+def parse(page: str) -> tuple[list[Token], list[list[str]]]:
+    """The page's tokens, and the features of each element that Token.around names."""
+    tokens, elements = [], []
+    stack: list[tuple[str, tuple[int, ...]]] = []  # open elements, and what was around each
+    opened: Counter = Counter()
+    around: tuple[int, ...] = ()
+    content, at, text = 0, 0, 0
+
+    def say(upto: int) -> None:
+        if upto > text:
+            part = page[text:upto]
+            tokens.append(Token("", part, len(part.split()), around, content > 0))
+
+    def close(depth: int) -> None:
+        nonlocal around, content
+        around = stack[depth][1]
+        for name, _ in stack[depth:]:
+            content -= name in CONTENT
+            opened[name] -= 1
+        del stack[depth:]
+
+    while (at := page.find("<", at)) >= 0:
+        m = TAG.match(page, at)
+        if not m:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                end = len(page) if end < 0 else end + 3
+            elif page[at + 1 : at + 2] in ("!", "?", "/"):
+                end = page.find(">", at)
+                end = len(page) if end < 0 else end + 1
+            else:
+                at += 1
                 continue
-        if not closing and name not in VOID and not m[0].endswith("/>") and _is_chrome(name, m[4] or "", content > 0):
-            skip, depth = name, 1
-            yield (APART if name in BLOCKS else WITHIN), "", content > 0
+            say(at)
+            at = text = end
+            continue
+        say(at)
+        at = text = m.end()
+        closing, name = m[1] == "/", m[2].lower()
+        if name in RAW:
+            if not closing and not m[3].endswith("/"):
+                end = re.compile(f"</{name}\\b[^>]*>?", re.I).search(page, at)
+                at = text = end.end() if end else len(page)
             continue
-        if name == "a":
-            links = 0 if closing else 1
-        if name in ("article", "main"):
-            content = max(0, content - 1) if closing else content + 1
-            links = 0
-        yield name, "", content > 0
-    if at < len(page) and not skip:
-        yield (LINKED if links else WORD), page[at:], content > 0
-
-
-def count_tokens(page: str) -> tuple[Counter, Counter]:
-    """How many words and tags lie inside the labelled content, and outside."""
-    inside, outside = Counter(), Counter()
-    for kind, value, labelled in tokens(page):
-        (inside if labelled else outside)[kind] += len(value.split()) if value else kind not in (WORD, LINKED)
-    return inside, outside
-
-
-def learn_weights(pages: list[str]) -> dict[str, float]:
-    """Log-odds of each token, above zero for words and below for tags; pages without one labelled element are left out."""
-    inside, outside = Counter(), Counter()
+        if closing:
+            if opened[name]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
+            tokens.append(Token(name, around=around, labelled=content > 0))
+            continue
+        if name in ENDING:
+            for i in range(len(stack) - 1, max(-1, len(stack) - 100), -1):
+                if name in ENDS.get(stack[i][0], ()):
+                    close(i)
+                    break
+                if stack[i][0] in HOLDERS:
+                    break
+        tokens.append(Token(name, around=around, labelled=content > 0))
+        if name not in VOID and not m[3].endswith("/"):
+            stack.append((name, around))
+            opened[name] += 1
+            features = [f for f in _features(name, m[3], content > 0) if f not in NEUTRAL]
+            if name in CONTENT:
+                content += 1
+                # What encloses its words begins anew, but for readers' comments.
+                around = tuple(k for k in around if not COMMENTS.isdisjoint(elements[k]))
+            if features:
+                around = (*around[-100:], len(elements))
+                elements.append(features)
+    say(len(page))
+    return tokens, elements
+
+
+def learn(pages: list[str]) -> Weights:
+    """Counts over those of the pages that mark their content with one article or main element."""
+    words, tags = {True: Counter(), False: Counter()}, {True: Counter(), False: Counter()}
     for page in pages:
-        if len(re.findall(r"<(?:article|main)\b", page, re.I)) == 1:
-            a, b = count_tokens(page)
-            inside, outside = inside + a, outside + b
-    n, m = sum(inside.values()), sum(outside.values())
-    if not n:
-        return dict(DEFAULT)
-    odds = {t: math.log((inside[t] + 1) / (n + 2)) - math.log((outside[t] + 1) / (m + 2)) for t in inside | outside}
-    out = {t: min(LIGHT_TAG, max(-3.0, x)) for t, x in odds.items() if t not in (WORD, LINKED)}
-    out |= {APART: LIGHT_TAG, WITHIN: LIGHT_TAG}
-    return out | {WORD: min(3.0, max(0.5, odds.get(WORD, 1.0))), LINKED: max(-1.0, min(0.5, odds.get(LINKED, -0.5)))}
-
-
-def extract(page: str, weights: dict[str, float]) -> str:
-    """The blocks of the best run of tokens, one to a line."""
-    found = list(tokens(page))
+        if len(re.findall(r"<(?:article|main)\b", page, re.I)) != 1:
+            continue
+        tokens, elements = parse(page)
+        for t in tokens:
+            if t.name:
+                tags[t.labelled][t.kind] += t.labelled or not t.around  # what a menu holds is the menu's
+            elif t.words and t.around:
+                words[t.labelled].update(dict.fromkeys(elements[t.around[0]], t.words))
+    both = lambda c: {k: (c[True][k], c[False][k]) for k in c[True] | c[False]}
+    return Weights(both(words), both(tags))
+
+
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """First and last + 1 of the contiguous run with the greatest sum above zero; of several the earliest; else (0, 0)."""
     best, total, start, span = 0.0, 0.0, 0, (0, 0)
-    for i, (kind, value, _) in enumerate(found):
-        score = weights.get(kind, DEFAULT_TAG) * (len(value.split()) if kind in (WORD, LINKED) else 1)
+    for i, x in enumerate(scores):
         if total <= 0:
             total, start = 0.0, i
-        total += score
+        total += x
         if total > best:
             best, span = total, (start, i + 1)
+    return span
+
+
+def scores_of(tokens: list[Token], elements: list[list[str]], weights: Weights) -> list[float]:
+    """The score of each token: of a tag below zero, of a text its words' sum."""
+    share = [max((weights.outside(f) for f in e), default=0.0) for e in elements]
+    kind = {}
+    held, read = Counter(), 0
+    for t in tokens:
+        if t.words:
+            chrome = [k for k in t.around if share[k] > 0.5]
+            held.update(dict.fromkeys(chrome, t.words))
+            read += 0 if chrome else t.words
+    for k, n in held.items():
+        if any(f[0] == "." for f in elements[k]):
+            odds = max(b / a for a, b in map(weights.counts, elements[k]))
+            if n > odds * max(read, LEAST_READ):
+                share[k] = 0.0
+    out = []
+    for t in tokens:
+        if t.name:
+            if t.kind not in kind:
+                kind[t.kind] = weights.tag(t.kind)
+            out.append(kind[t.kind])
+        else:
+            one = 1 - 2 * max((share[k] for k in t.around), default=0.0)
+            out.append(one * (t.words if one > 0 else math.log2(1 + t.words)))
+    return out
+
+
+def extract(page: str, weights: Weights) -> str:
+    """The blocks of the best run of tokens, one to a line."""
+    tokens, elements = parse(page)
+    scores = scores_of(tokens, elements, weights)
+    low, high = best_run(scores)
     # The rest of the first and last block belongs to them.
-    low, high = span
-    ends = BLOCKS | {APART}
-    while low and found[low - 1][0] not in ends and low < high:
+    while low and tokens[low - 1].name not in BLOCKS and low < high:
         low -= 1
-    while high < len(found) and found[high][0] not in ends and low < high:
+    while high < len(tokens) and tokens[high].name not in BLOCKS and low < high:
         high += 1
     blocks, parts = [], []
-    for kind, value, _ in found[low:high]:
-        if kind in (WORD, LINKED):
-            parts.append(value)
-        elif kind in BLOCKS or kind == APART:
+    for t, score in zip(tokens[low:high], scores[low:high], strict=True):
+        if not t.name:
+            if score > 0 or not t.words:
+                parts.append(t.text)
+        elif t.name in BLOCKS:
             blocks.append("".join(parts))
             parts = []
-        elif kind in ("br", "td", "th", "img"):
+        elif t.name in ("br", "td", "th", "img"):
             parts.append(" ")
     blocks.append("".join(parts))
     lines = (" ".join(html.unescape(b).split()) for b in blocks)
     return "\n".join(x for x in lines if x)
 
 
-def _work(weights: dict[str, float]) -> Callable:
+def _work(weights: Weights) -> Callable:
     def work(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([extract(page or "", weights) for page in batch], dtype=object)
@@ -159,15 +284,14 @@ def _work(weights: dict[str, float]) -> Callable:
     return work
 
 
-def sample_weights(pages: DataFrame, max_pages: int = 400, max_chars: int = 100_000) -> dict[str, float]:
+def sample_weights(pages: DataFrame, max_pages: int = 400, max_chars: int = 100_000) -> Weights:
     """Weights from at most max_pages pages of at most max_chars characters, picked by hash."""
     fit = pages.where(F.length("html").between(1, max_chars)).withColumn("h", F.xxhash64("page_id", "url"))
-    hashes = [r["h"] for r in fit.select("h").orderBy("h").limit(max_pages).collect()]
-    rows = fit.where(F.col("h").isin(hashes)).select("h", "html").collect() if hashes else []
-    return learn_weights([r["html"] for r in sorted(rows, key=lambda r: (r["h"], r["html"]))[:max_pages]])
+    rows = fit.select("h", "html").join(F.broadcast(fit.select("h").orderBy("h").limit(max_pages).distinct()), "h").orderBy("h", "html").limit(max_pages)
+    return learn([r["html"] for r in rows.collect()])
 
 
-def extract_pages(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+def extract_pages(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     """page_id, url, text and n_chars for every row of pages."""
     udf = F.pandas_udf(_work(sample_weights(pages) if weights is None else weights), "string")
     return pages.select("page_id", "url", udf("html").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
