@@ -1,5 +1,6 @@
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 from evidara.llm import decontamination, quality_classifier, quality_rules
 
@@ -34,8 +35,8 @@ def test_decontamination(spark, docs, sf_dir):
     want = sorted(brute.contamination([(r["doc_id"], r["text"]) for r in docs.collect()], [(r["item_id"], r["text"]) for r in items.collect()]))
     columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     assert sorted(tuple(r) for r in decontamination.judge(docs, items).select(*columns).collect()) == want
-    by_shuffle = decontamination.judge(docs, items, max_broadcast=0, max_pairs=0)
-    assert sorted(tuple(r) for r in by_shuffle.select(*columns).collect()) == want
+    in_blocks = decontamination.judge(docs, items, max_broadcast=400)
+    assert sorted(tuple(r) for r in in_blocks.select(*columns).collect()) == want
     gone = {w[0] for w in want if w[-1]}
     assert {r["doc_id"] for r in decontamination.clean(docs, items).collect()} == {w[0] for w in want} - gone
 
@@ -52,6 +53,28 @@ def test_decontamination_of_edges(spark, edge_docs, no_docs):
     assert not decontamination.judge(edge_docs, items.where("false")).where("contaminated").count()
 
 
+def test_decontamination_by_many_windows(spark, docs):
+    rows = [(f"i{k}", " ".join(f"w{k}x{j}" for j in range(2012))) for k in range(100)] + [("own", docs.where("doc_id = 3").first()["text"])]
+    items = spark.createDataFrame(rows, "item_id string, text string")
+    near = docs.where("doc_id < 40").unionByName(docs.limit(1).withColumns({"doc_id": F.lit(-1).cast("long"), "text": F.lit("so " + rows[5][1].upper() + " it is")}))
+    want = sorted(brute.contamination([(r["doc_id"], r["text"]) for r in near.collect()], rows))
+    assert decontamination.benchmark_windows(items).count() > 200_000
+    for options in ({}, {"max_broadcast": 60_000}):
+        judged = decontamination.judge(near, items, **options).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+        assert sorted(tuple(r) for r in judged.collect()) == want
+
+
+def test_decontamination_cuts_spans(spark, edge_docs, no_docs):
+    items = spark.createDataFrame([("a", "w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w16"), ("b", "c d"), ("c", "W18")], "item_id string, text string")
+    out = decontamination.cut(edge_docs, items)
+    assert out.columns == edge_docs.columns and out.count() == edge_docs.count() and decontamination.cut(no_docs, items).count() == 0
+    got = {r["doc_id"]: r["text"] for r in out.where("doc_id IN (7, 11, 12)").collect()}
+    left = " ".join(["w0", "w1", "w2", "w17", *(f"w{i}" for i in range(19, 120))])
+    assert got == {7: "A B e F", 11: left, 12: "start " + left}
+    spans = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in decontamination.find_hits(edge_docs, items).collect()}
+    assert spans[11] == [(3, 17), (18, 19)] and spans[7] == [(2, 4)] and spans[3] == []
+
+
 def test_classifier_on_held_out_rows(docs, labels, edge_docs, no_docs):
     model = quality_classifier.learn(docs, labels)
     scored = {r["doc_id"]: r for r in quality_classifier.score(docs, model).collect()}
