@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from ..plans.settled import discard, settle
 
 
 def _with_least(arcs: DataFrame) -> DataFrame:
-    """Arcs (u, v) with m, the least of u and its neighbours in arcs; counted before the join, so hubs cost one row."""
-    least = arcs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
+    """Arcs (u, v) with m, the least of u and its neighbours in arcs.
+
+    Least ones are combined before the shuffle, so hubs cost one row a task; they are written before the join, so that
+    Spark can split the arcs of a hub.
+    """
+    least = settle(arcs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m")), "least")
     return arcs.join(least, arcs["u"] == least["_u"]).select("u", "v", "m")
 
 
@@ -41,6 +45,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if state == before or not state[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        now = settle(_small_star(_large_star(now)).where("u <> v").distinct(), "edges")
+        large = settle(_large_star(now), "large")
+        old, now = now, settle(_small_star(large).where("u <> v").distinct(), "edges")
+        discard(old, large)
         before, state = state, _state(now)
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")

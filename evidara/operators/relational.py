@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
+from ..plans.settled import settle
 from ..sources.tables import table
 
 
@@ -199,7 +200,7 @@ def graph_neighbors(spark, d):
 @query("""SELECT s.s_suppkey, s.s_name, n.n_name, (SELECT count(*) FROM lineitem WHERE l_suppkey = 7) AS n_lines, (SELECT string_agg(b, ',' ORDER BY b) FROM (SELECT DISTINCT p_brand AS b FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey = 7)) AS brands,
 (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_suppkey = 7) AS n_orders FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey WHERE s.s_suppkey = 7""")
 def entity_360(spark, d):
-    s = table(spark, d, "supplier").where("s_suppkey = 7").join(F.broadcast(table(spark, d, "nation").where("n_nationkey IS NOT NULL").limit(1000)), F.col("s_nationkey") == F.col("n_nationkey"))
+    s = table(spark, d, "supplier").where("s_suppkey = 7").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     lines = table(spark, d, "lineitem").where("l_suppkey = 7").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     agg = lines.groupBy("l_suppkey").agg(F.count("*").alias("n_lines"), F.array_join(F.sort_array(F.collect_set("p_brand")), ",").alias("brands"), F.countDistinct("l_orderkey").alias("n_orders"))
     return s.join(agg, F.col("s_suppkey") == F.col("l_suppkey")).select("s_suppkey", "s_name", "n_name", "n_lines", "brands", "n_orders")
@@ -207,8 +208,28 @@ def entity_360(spark, d):
 
 @query("""SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, count(*) AS n FROM events GROUP BY 1""")
 def latency_percentiles(spark, d):
-    disc = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
-    return table(spark, d, "events").groupBy("event_type").agg(disc(0.5).alias("p50"), disc(0.95).alias("p95"), disc(0.99).alias("p99"), F.count("*").alias("n"))
+    """Nearest-rank percentiles, exact."""
+    return nearest_ranks(table(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+
+
+def nearest_ranks(df: DataFrame, group: str, value: str, shares: dict[str, float], parts: int = 64) -> DataFrame:
+    """group, a column for each share of the value at that nearest rank, and n, the number of values.
+
+    Equal values are counted first. Counts of ranges of values, whose bounds come of a sketch, are summed before those
+    inside a range, so a hot group is sorted in many tasks. Nulls do not count.
+    """
+    counts = settle(df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("n")), "values")
+    cuts = [F.lit(i / parts) for i in range(1, parts)]
+    bounds = settle(counts.groupBy("g").agg(F.percentile_approx("v", F.array(*cuts), 1000).alias("cuts")), "bounds")
+    dealt = counts.join(bounds.withColumnRenamed("g", "_g"), F.col("g").eqNullSafe(F.col("_g"))).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("v"))))
+    dealt = settle(dealt.select("g", "v", "n", "part"), "dealt")
+    upto = lambda *order: Window.partitionBy("g").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    whole = dealt.groupBy("g", "part").agg(F.sum("n").alias("m")).withColumns({"before": F.coalesce(F.sum("m").over(upto("part")), F.lit(0)), "total": F.sum("m").over(Window.partitionBy("g"))})
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("g", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = dealt.withColumn("inside", inside).join(whole.select(F.col("g").alias("_g"), F.col("part").alias("_p"), "before", "total"), F.col("g").eqNullSafe(F.col("_g")) & (F.col("part") == F.col("_p")))
+    low = F.col("before") + F.col("inside")
+    at = lambda p: F.min(F.when((low < F.ceil(F.col("total") * p)) & (low + F.col("n") >= F.ceil(F.col("total") * p)), F.col("v")))
+    return placed.groupBy(F.col("g").alias(group)).agg(*[at(p).alias(name) for name, p in shares.items()], F.sum("n").alias("n"))
 
 
 @query("""SELECT source, count(*) AS documents, round(quantile_cont(n_chars::DOUBLE, 0.5), 4) AS p50, round(quantile_cont(n_chars::DOUBLE, 0.95), 4) AS p95, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1""")
@@ -330,17 +351,24 @@ def section_subtree(spark, d):
     return subtree(place_edges(spark, d), "region:1")
 
 
-def subtree(edges: DataFrame, root: str, max_depth: int = 8) -> DataFrame:
-    """node, depth and path of everything below a root (edges from child src to parent dst); a cycle is an error."""
+def subtree(edges: DataFrame, root: str) -> DataFrame:
+    """node, depth and path of everything below a root (edges from child src to parent dst); a cycle is an error.
+
+    One join a level until there is nothing below; each level is written, so plans stay short however deep the tree is.
+    A node that is reached by several paths has a row for each.
+    """
     spark = edges.sparkSession
+    arcs = settle(edges.select("src", "dst").distinct(), "arcs")
     level = spark.createDataFrame([(root, 0, root)], "node string, depth int, path string")
-    out = level
-    for _ in range(max_depth):
-        level = level.join(edges, F.col("node") == F.col("dst")).select(F.when(F.instr(F.concat(F.lit(">"), "path", F.lit(">")), F.concat(F.lit(">"), "src", F.lit(">"))) > 0, F.raise_error(F.lit("cycle in the tree"))).otherwise(F.col("src")).alias("node"), (F.col("depth") + 1).alias("depth"), F.concat_ws(">", "path", "src").alias("path"))
+    levels = [level]
+    again = F.instr(F.concat(F.lit(">"), "path", F.lit(">")), F.concat(F.lit(">"), "src", F.lit(">"))) > 0
+    while True:
+        below = level.join(arcs, F.col("node") == F.col("dst"))
+        below = below.select(F.when(again, F.raise_error(F.lit("cycle in the tree"))).otherwise(F.col("src")).alias("node"), (F.col("depth") + 1).alias("depth"), F.concat_ws(">", "path", "src").alias("path"))
+        level = settle(below, "level")
         if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+            return reduce(DataFrame.unionByName, levels)
+        levels.append(level)
 
 
 @query(f"""WITH RECURSIVE e AS ({EDGES_SQL}), t AS (SELECT 'supplier:3' AS node, 0 AS depth UNION SELECT e.dst, t.depth + 1 FROM t JOIN e ON e.src = t.node) SELECT node, depth FROM t""")

@@ -11,6 +11,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores where it has fewer parts than these: a small file of one row group is read by one task.
+
+    Larger inputs have more parts than cores and stay as they lie.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, strict: bool = True) -> DataFrame:
     """One object to a line; blank lines are skipped. strict fails on bad JSON, else it is kept in _corrupt_record."""
     reader = spark.read.schema(schema)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evidara.functions import text as X
 from evidara.operators import chunking, dedup, governance, relational, retrieval
+from evidara.operators.components import connected_components
 from evidara.sources import tables as S
 from evidara.streaming import turns
 
@@ -199,3 +200,28 @@ def test_streams_match_batches(spark, sf_dir, tmp_path):
     events.write.parquet(str(tmp_path / "in2"))
     once = turns.run_available(turns.deduplicated_stream(turns.event_stream(spark, str(tmp_path / "in2"), 100)), str(tmp_path / "out"), str(tmp_path / "cp2"))
     assert once.count() == events.count()
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(30)] + [(100, 90), (90, 80), (7, 7), (200, 201), (200, 201), (None, 5)]
+    found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert found == {i: 0 for i in range(31)} | {100: 80, 90: 80, 80: 80, 200: 200, 201: 200}
+
+
+def test_trees_of_any_depth(spark):
+    chain = spark.createDataFrame([(f"n{i + 1}", "below", f"n{i}") for i in range(40)], "src string, relation string, dst string")
+    rows = relational.subtree(chain, "n0").collect()
+    assert sorted(r["depth"] for r in rows) == list(range(41)) and max(r["path"].count(">") for r in rows) == 40
+    with pytest.raises(Exception, match="cycle"):
+        relational.subtree(chain.union(spark.createDataFrame([("n0", "below", "n3")], chain.schema)), "n0").collect()
+
+
+def test_nearest_ranks(spark):
+    import math
+    import random
+
+    rnd = random.Random(1)
+    values = {"a": [rnd.random() for _ in range(1000)], "b": [rnd.choice([1.0, 2.0]) for _ in range(501)], "c": [7.0], None: [3.0, 1.0]}
+    df = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs] + [("a", None), ("d", None)], "g string, v double")
+    got = {r["g"]: (r["p50"], r["p95"], r["n"]) for r in relational.nearest_ranks(df, "g", "v", {"p50": 0.5, "p95": 0.95}).collect()}
+    assert got == {g: (sorted(v)[math.ceil(len(v) * 0.5) - 1], sorted(v)[math.ceil(len(v) * 0.95) - 1], len(v)) for g, v in values.items()}
