@@ -1,57 +1,86 @@
 """Multi-party perspective rotation of dialogues, with DataFrame functions only.
 
-For every participant of a conversation the whole dialogue is rendered once with that participant as the assistant and
-the others as users by name. There is a row for each participant and turn, in the order of turn and then text; a
-dialogue is the concatenation of its segments. Turns never gather in one task: participants are counted per
-conversation first and joined to the turns, so a very large conversation is spread like any other rows.
+For every participant of a conversation the whole dialogue is rendered with that participant as the assistant and the
+others as users by name; masks name the characters that a loss counts, the participant's words and closing marks. A row
+holds at most ``TURNS`` turns; a longer dialogue goes on in further parts, so no task gathers a whole large one.
+
+Turns are in the order of turn, rows with one number by a hash of who says what; null numbers come first. A turn's place
+is the sum of three counts, of blocks of numbers, of numbers and hashes in its block, and of rows alike in these, so a
+conversation of any size is numbered without sorting it in one task. Repeated rows are repeated turns, counted before
+the shuffle.
 
 Roles are taken as names; ``system`` is an instruction to all and no participant. Null roles and blank ones are the
 participant "unknown"; null texts are empty; rows without a conv_id make a conversation of their own name (null).
-Repeated rows are repeated turns. A conversation of system turns only has no participant and gives no rows.
+Markers inside texts and names are broken by a space, and line breaks in names are spaces, so nobody can forge a turn.
+A conversation of system turns only has no participant and gives no rows; neither does an empty table. Other columns
+are not looked at.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+from .common import settle
+
+OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 SYSTEM, UNKNOWN = "system", "unknown"
+TURNS = 256
+#: Numbers of turn to a block, and hexadecimal digits of the hash that part rows of one number.
+NUMBERS, DIGITS = 1024, 3
 
 
-def rotate(turns: DataFrame) -> DataFrame:
-    """conv_id, speaker, turn, author, role, segment, trained, mask_start and mask_end.
+def _said(text: Column) -> Column:
+    for mark in (OPEN, CLOSE):
+        text = F.replace(text, F.lit(mark), F.lit(mark[:-2] + " |>"))
+    return text
 
-    trained: whether the loss counts this segment. mask_start and mask_end: the characters of the segment that it
-    counts, the speaker's words and the closing mark; equal where there are none.
-    """
+
+def numbered(turns: DataFrame) -> DataFrame:
+    """conv_id, author, body, before and n: distinct turns with how many turns come before them and how often they are said."""
     author = F.when(F.coalesce(F.btrim("role"), F.lit("")) == "", UNKNOWN).otherwise(F.col("role"))
-    said = turns.select("conv_id", "turn", author.alias("author"), F.coalesce("text", F.lit("")).alias("body"))
-    speakers = said.where(F.col("author") != SYSTEM).select(F.col("conv_id").alias("_conv"), F.col("author").alias("speaker")).distinct()
-    seen = said.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv")))
-    own = F.col("author") == F.col("speaker")
-    role = F.when(F.col("author") == SYSTEM, SYSTEM).when(own, "assistant").otherwise("user")
-    head = F.concat(F.lit(OPEN), role, F.when(role == "user", F.concat(F.lit(" name="), "author")).otherwise(""), F.lit("\n"))
-    segment = F.concat(head, "body", F.lit(CLOSE))
-    return seen.select(
-        "conv_id", "speaker", "turn", "author", role.alias("role"), segment.alias("segment"), own.alias("trained"),
-        F.when(own, F.length(head)).otherwise(0).cast("long").alias("mask_start"), F.when(own, F.length(segment)).otherwise(0).cast("long").alias("mask_end"),
-    )
+    said = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), author.alias("author"), F.coalesce("text", F.lit("")).alias("body"))
+    said = said.groupBy("conv_id", "turn", "author", "body").agg(F.count("*").alias("n")).withColumn("hash", F.md5(F.concat_ws("|", "author", "body").cast("binary")))
+    said = settle(said.withColumns({"block": F.floor(F.col("turn") / NUMBERS), "bin": F.substring("hash", 1, DIGITS)}), "said")
+    upto = lambda order, *keys: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = said.groupBy("conv_id", "block", "turn", "bin").agg(F.sum("n").alias("n"))
+    bins = bins.withColumn("in_block", upto(["turn", "bin"], "conv_id", "block"))
+    blocks = said.groupBy("conv_id", "block").agg(F.sum("n").alias("n")).withColumn("in_conv", upto(["block"], "conv_id"))
+    known = lambda df, names: df.select(*[F.col(x).alias(f"_{x}") for x in names], *[c for c in df.columns if c.startswith("in_")])
+    alike = lambda names: [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in names]
+    places = known(bins, ["conv_id", "block", "turn", "bin"]).join(known(blocks, ["conv_id", "block"]).withColumnsRenamed({"_conv_id": "_c", "_block": "_b"}), F.col("_conv_id").eqNullSafe(F.col("_c")) & F.col("_block").eqNullSafe(F.col("_b")))
+    places = settle(places.select("_conv_id", "_turn", "_bin", (F.col("in_block") + F.col("in_conv")).alias("_before")), "places")
+    inner = said.withColumn("in_bin", upto(["hash", "author", "body"], "conv_id", "turn", "bin"))
+    return inner.join(places, alike(["conv_id", "turn", "bin"])).select("conv_id", "author", "body", (F.col("_before") + F.col("in_bin")).alias("before"), "n")
 
 
-def dialogues(turns: DataFrame, max_turns: int = 256) -> DataFrame:
-    """conv_id, speaker, part, text, masks: segments joined in order, each part at most max_turns numbers of turn long.
+def rotate(turns: DataFrame, most: int = TURNS) -> DataFrame:
+    """conv_id, speaker, part, n_turns, text, masks and n_trained: each participant's view of each part of the dialogue.
 
-    masks: the trained spans of text as (start, end) in characters. A long dialogue has several parts, from 0.
+    masks: start-end of the trained spans, in characters of text, joined by commas. n_trained: their characters.
     """
-    rows = rotate(turns).withColumn("part", F.coalesce(F.floor(F.col("turn") / max_turns), F.lit(-1)))
-    one = F.struct("turn", "segment", "trained", "mask_start", "mask_end")
-    joined = rows.groupBy("conv_id", "speaker", "part").agg(F.sort_array(F.collect_list(one)).alias("s"))
-    start = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), start.alias("masks"))
+    rows = numbered(turns)
+    first, last = F.floor(F.col("before") / most), F.floor((F.col("before") + F.col("n") - 1) / most)
+    rows = rows.withColumn("part", F.explode(F.sequence(first, last)))
+    times = F.least(F.col("before") + F.col("n"), (F.col("part") + 1) * most) - F.greatest("before", F.col("part") * most)
+    rows = settle(rows.select("conv_id", "author", "body", "part", F.greatest("before", F.col("part") * most).alias("at"), times.cast("int").alias("times")), "turns")
+    speakers = settle(rows.where(F.col("author") != SYSTEM).select(F.col("conv_id").alias("_conv"), F.col("author").alias("speaker")).distinct(), "speakers")
+    seen = rows.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv")))
+    own = F.col("author") == F.col("speaker")
+    role = F.when(F.col("author") == SYSTEM, F.lit(SYSTEM)).when(own, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), F.translate(_said(F.col("author")), "\r\n", "  ")))
+    head = F.concat(F.lit(OPEN), role, F.lit("\n"))
+    one = F.struct("at", "times", head.alias("head"), F.concat(_said(F.col("body")), F.lit(CLOSE + "\n")).alias("tail"), own.alias("own"))
+    parts = seen.groupBy("conv_id", "speaker", "part").agg(F.sort_array(F.collect_list(one)).alias("s"))
+    each = F.flatten(F.transform("s", lambda x: F.array_repeat(F.struct(x["head"].alias("head"), x["tail"].alias("tail"), x["own"].alias("own")), x["times"])))
+    parts = parts.select("conv_id", "speaker", "part", each.alias("s"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("masks"), F.lit(0).cast("long").alias("n"))
 
-    def add(a, x):
-        span = F.struct((a["at"] + x["mask_start"]).alias("start"), (a["at"] + x["mask_end"]).alias("end"))
-        return F.struct((a["at"] + F.length(x["segment"])).alias("at"), F.when(x["trained"], F.concat(a["masks"], F.array(span))).otherwise(a["masks"]).alias("masks"))
+    def add(a: Column, x: Column) -> Column:
+        low = a["at"] + F.length(x["head"])
+        high = low + F.length(x["tail"])
+        masks = F.when(x["own"], F.concat(a["masks"], F.array(F.concat_ws("-", low, high)))).otherwise(a["masks"])
+        return F.struct(high.alias("at"), masks.alias("masks"), (a["n"] + F.when(x["own"], F.length(x["tail"])).otherwise(0)).alias("n"))
 
-    return joined.select("conv_id", "speaker", "part", F.array_join(F.transform("s", lambda x: x["segment"]), "").alias("text"), F.aggregate("s", zero, add)["masks"].alias("masks"))
+    parts = parts.withColumn("m", F.aggregate("s", start, add))
+    text = F.array_join(F.transform("s", lambda x: F.concat(x["head"], x["tail"])), "")
+    return parts.select("conv_id", "speaker", "part", F.size("s").cast("long").alias("n_turns"), text.alias("text"), F.array_join("m.masks", ",").alias("masks"), F.col("m.n").alias("n_trained"))

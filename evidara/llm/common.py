@@ -2,50 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.settled import discard, settle, shared_dir
+from ..sources import tables
+
+__all__ = ["discard", "drop_matching", "free_name", "settle", "shared_dir", "table", "words_of"]
+
 #: ASCII white space, the separators of words: \x20 and \x09 to \x0D.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; where that is unset, one in the warehouse."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
-    return context.getCheckpointDir()
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as a table in the shared folder and read it back, which cuts its lineage.
-
-    A lost executor then costs a reread, not a recomputation. The table goes when the application ends, or by discard.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._settled_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete the files of settled tables that nothing will read again; other tables are left alone."""
-    for df in tables:
-        if path := getattr(df, "_settled_at", None):
-            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+    return tables.spread(tables.table(spark, sf_dir, name))
 
 
 def words_of(text: Column) -> Column:

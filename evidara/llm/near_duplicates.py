@@ -10,7 +10,8 @@
    clusters of the links. A bucket that lies in one cluster is settled.
 4. In the other buckets every pair from different clusters is tested, inside the join and at the first band that the
    pair shares, so only plausible pairs leave it; they are confirmed as before, and the links of both passes make the
-   components. So no link that a band finds is lost, and a large group of copies is never paired with itself.
+   components. So no link that a band finds is lost, and a large group of copies is never paired with itself. A bucket
+   of more than ``BLOCK`` classes is cut into blocks, and each pair of blocks meets in a task of its own.
 
 Null, empty and blank texts have empty sets and link with nothing, as do rows without a doc_id (component_id null,
 kept). A doc_id in several rows is judged row by row; all rows come back. Other columns are not looked at.
@@ -27,13 +28,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_matching, settle
-from .components import connected_components
+from ..operators.components import connected_components
+from .common import discard, drop_matching, settle
 from .shingles import mix, shingle_set
 
 HASHES, ROWS, SKETCH_LONGS, NIBBLES = 128, 4, 8, 16
 #: At a similarity of 0.75 a pair differs in 30 of 128 nibbles, with a deviation of 4.8; beyond this it is no candidate.
 MAX_DIFFERENT = 60
+#: Classes of a bucket that one task compares with each other.
+BLOCK = 1024
 #: Bits of a set's parity sketch: bit i is set if an odd number of shingles hash to i.
 PARITY_LONGS = 16
 _rng = np.random.default_rng(77)
@@ -142,13 +145,14 @@ def _edges(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """Edges with the components of all links: from each node of the first pass to its cluster, and the second's links."""
     classes = settle(signed.where("c IS NOT NULL AND doc_id IS NOT NULL").select("c", "n", "sketch", "bands").dropDuplicates(["c"]), "classes")
     rows = classes.select("c", F.explode("bands").alias("b"))
-    shared = rows.groupBy("b").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+    shared = settle(rows.groupBy("b").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high"), "shared")
     members = settle(rows.join(shared, "b"), "members")
     one = members.select("c").distinct().join(classes, "c")
-    at = signed.join(one.select("c"), "c", "left_semi").where("doc_id IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
-    sets = docs.select("doc_id", "text").join(at.hint("shuffle_hash"), "doc_id").select("c", "text").mapInPandas(_sets, "c binary, s binary")
-    sets = settle(sets.dropDuplicates(["c"]), "sets")
     named = settle(one, "named")
+    at = settle(signed.join(named.select("c"), "c", "left_semi").where("doc_id IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("doc_id")), "sources")
+    sets = docs.select("doc_id", "text").join(at, "doc_id").select("c", "text").mapInPandas(_sets, "c binary, s binary")
+    sets = settle(sets.dropDuplicates(["c"]), "sets")
+    discard(classes, shared, at)
 
     star = members.select(F.col("c").alias("v"), F.explode(F.array("low", "high")).alias("u")).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     told = lambda end: named.select(F.col("c").alias(end), F.col("n").alias(f"n{end}"), F.col("sketch").alias(f"s{end}"))
@@ -156,13 +160,17 @@ def _edges(docs: DataFrame, signed: DataFrame) -> DataFrame:
     first = settle(_confirmed(likely, sets), "links")
 
     clusters = connected_components(first)
-    placed = members.select("b", "c").join(clusters.withColumnRenamed("node", "c"), "c", "left").select("b", "c", F.coalesce("component", "c").alias("k"))
-    open_ = placed.groupBy("b").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high").select("b")
-    left = settle(placed.join(open_, "b").join(named, "c"), "open")
-    a, b = (left.select("b", *[F.col(x).alias(f"{x}{end}") for x in ("c", "k", "n", "sketch", "bands")]) for end in "ab")
+    placed = settle(members.select("b", "c").join(clusters.withColumnRenamed("node", "c"), "c", "left").select("b", "c", F.coalesce("component", "c").alias("k")), "placed")
+    open_ = settle(placed.groupBy("b").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count("*").alias("size")).where("low <> high").select("b", F.ceil(F.col("size") / BLOCK).alias("blocks")), "buckets")
+    left = settle(placed.join(open_, "b").join(named, "c").withColumn("block", F.pmod(F.xxhash64("c"), "blocks")), "open")
+    discard(members, first, placed, open_)
+    cell = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    a, b = (cell.select("b", "i", "j", *[F.col(x).alias(f"{x}{end}") for x in ("c", "k", "n", "sketch", "bands", "block")]) for end in "ab")
     same_first = F.get(F.filter(F.zip_with("bandsa", "bandsb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), F.lit(0))
-    pairs = a.join(b, (a["b"] == b["b"]) & (F.col("ca") < F.col("cb")) & (F.col("ka") != F.col("kb")) & _plausible("na", "nb", "sketcha", "sketchb") & (same_first == a["b"]))
+    met = (a["b"] == b["b"]) & (a["i"] == b["i"]) & (a["j"] == b["j"]) & ((a["i"] == a["j"]) | (F.col("blocka") != F.col("blockb")))
+    pairs = a.join(b, met & (F.col("ca") < F.col("cb")) & (F.col("ka") != F.col("kb")) & _plausible("na", "nb", "sketcha", "sketchb") & (same_first == a["b"]))
     second = settle(_confirmed(pairs.select(F.col("ca").alias("u"), F.col("cb").alias("v")), sets), "links")
+    discard(sets, named, left)
     return clusters.select(F.col("node").alias("u"), F.col("component").alias("v")).union(second)
 
 
@@ -171,7 +179,9 @@ def find_components(docs: DataFrame) -> DataFrame:
     signed = settle(docs.select("doc_id", "text").mapInPandas(_signatures, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, c binary, sketch array<long>, bands array<long>"), "signatures")
     roots = connected_components(_edges(docs, signed)).select(F.col("node").alias("c"), "component")
     placed = signed.select("doc_id", "n", "c").join(roots, "c", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "c")).alias("root"))
-    least = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
+    placed = settle(placed, "placed")
+    least = settle(placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
+    discard(signed)
     out = placed.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 

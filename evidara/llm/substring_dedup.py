@@ -89,7 +89,7 @@ def _spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = []
         for doc_id, t, text, spans in zip(batch["doc_id"], batch["t"], batch["text"], batch["spans"], strict=True):
             data, single, rows, run = _data(text), [], [], None
-            words, hashes = data.split(), word_hashes(data)
+            words = data.split()
             for start, end, path, spelled in sorted({(x["start"], x["end"], x["path"], x["spelled"]) for x in spans}):
                 if spelled:
                     single.append(np.arange(start, end + 1))
@@ -101,7 +101,7 @@ def _spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             digests = [np.frombuffer(hashlib.blake2b(b" ".join(words[s : e + WINDOW]), digest_size=16).digest(), np.int64) for s, e, _ in rows]
             named = pd.DataFrame({"start": [r[0] for r in rows], "end": [r[1] for r in rows], "a": [d[0] for d in digests], "b": [d[1] for d in digests]}, dtype=np.int64)
             if single:
-                at = np.unique(np.concatenate(single))
+                at, hashes = np.unique(np.concatenate(single)), word_hashes(data)
                 a, b = window_hashes(hashes, WINDOW), window_hashes(hashes, WINDOW, _SECOND_BASE)
                 named = pd.concat([named, pd.DataFrame({"start": at, "end": at, "a": a[at].view(np.int64), "b": b[at].view(np.int64)})])
             parts.append(named.assign(doc_id=doc_id, t=t))

@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidara.llm import near_duplicates, substring_dedup
-from evidara.llm.components import connected_components
 from evidara.llm.shingles import window_hashes, word_hashes
 
 
@@ -48,12 +47,6 @@ def test_near_duplicates_of_nothing(no_docs):
     assert near_duplicates.drop_near_duplicates(no_docs).columns == no_docs.columns
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(30)] + [(100, 90), (90, 80), (7, 7), (200, 201), (200, 201), (None, 5)]
-    found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert found == {i: 0 for i in range(31)} | {100: 80, 90: 80, 80: 80, 200: 200, 201: 200}
-
-
 @pytest.mark.parametrize("which", ["docs", "edge_docs"])
 def test_substring_dedup(request, which):
     df = request.getfixturevalue(which)
@@ -92,3 +85,19 @@ def test_substring_dedup_of_long_shared_passages(spark):
 def test_chains_of_fragments_compact(spark):
     arcs = spark.createDataFrame([(i, i - 1) for i in range(1, 70)] + [(200, 100)], "node long, up long")
     assert {r["node"]: r["up"] for r in substring_dedup._compacted(arcs).collect()} == {i: 0 for i in range(1, 70)} | {200: 100}
+
+
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    rnd = random.Random(4)
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for i in range(60):  # one bucket of many classes: all share long runs, few are alike
+        w = list(base)
+        for k in range(rnd.choice([1, 2, 3, 9, 12])):
+            w[rnd.randrange(60)] = f"x{i}_{k}"
+        texts.append((i, " ".join(w)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    want = sorted(brute.components(texts), key=key)
+    for block in (4, 1024):
+        monkeypatch.setattr(near_duplicates, "BLOCK", block)
+        assert rows(near_duplicates.find_components(df)) == want
