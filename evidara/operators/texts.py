@@ -303,7 +303,8 @@ def visible_text(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.btrim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), F.array_join(lines, "\n").alias("visible"))
 
 
-@query()
+@query("""WITH c AS (SELECT o_orderstatus AS table_id, o_orderpriority, count(*)::VARCHAR AS n FROM orders GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY o_orderpriority, n) - 1 AS i FROM c)
+SELECT table_id, i // 3 AS part, '| o_orderpriority | n |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || replace(coalesce(o_orderpriority, ''), '|', '\\|') || ' | ' || n || ' |', chr(10) ORDER BY i) AS markdown FROM r GROUP BY 1, 2""")
 def table_markdown(spark, d):
     """Markdown tables of the order book by status, in row groups that repeat the header."""
     o = table(spark, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))

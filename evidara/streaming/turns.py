@@ -84,14 +84,22 @@ def upsert_latest(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
     A version is named by its batch, so a batch that runs again after a failure replaces its own version only.
     """
 
+    spark = stream.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(target)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def newest(before: float = float("inf")) -> str | None:
+        """The last version that was written whole, of those before a batch."""
+        found = [x.getPath() for x in files.listStatus(folder)] if files.exists(folder) else []
+        done = [int(x.getName().partition("=")[2]) for x in found if x.getName().startswith("version=") and files.exists(x.suffix("/_SUCCESS"))]
+        return f"{target}/version={max(n for n in done if n < before)}" if any(n < before for n in done) else None
+
     def merge(batch: DataFrame, batch_id: int) -> None:
         new = batch.groupBy("user_id").agg(F.max_by(F.struct("event_type", "event_id", "value"), "event_id").alias("s"))
-        if batch_id:
-            old = batch.sparkSession.read.parquet(f"{target}/version={batch_id - 1}")
+        if last := newest(batch_id):
+            old = batch.sparkSession.read.parquet(last)
             new = old.unionByName(new).groupBy("user_id").agg(F.max_by("s", "s.event_id").alias("s"))
         new.write.mode("overwrite").parquet(f"{target}/version={batch_id}")
 
-    q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return stream.sparkSession.read.parquet(f"{target}/version={last}").select("user_id", F.col("s.event_type").alias("status"), F.col("s.event_id").alias("last_sequence"), F.col("s.value").alias("value"))
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(newest()).select("user_id", F.col("s.event_type").alias("status"), F.col("s.event_id").alias("last_sequence"), F.col("s.value").alias("value"))

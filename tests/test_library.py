@@ -197,7 +197,13 @@ def test_streams_match_batches(spark, sf_dir, tmp_path):
     stream = turns.event_stream(spark, str(tmp_path / "in"))
     latest = turns.upsert_latest(stream, str(tmp_path / "state"), str(tmp_path / "cp1"))
     assert sorted(latest.collect()) == sorted(turns.latest_state(events).collect())
-    events.write.parquet(str(tmp_path / "in2"))
+    again = turns.upsert_latest(turns.event_stream(spark, str(tmp_path / "in")), str(tmp_path / "state"), str(tmp_path / "cp1"))  # nothing new
+    assert sorted(again.collect()) == sorted(latest.collect())
+    more = events.where("user_id = 1").limit(3).withColumn("event_id", F.col("event_id") + 10**9)
+    more.write.mode("append").parquet(str(tmp_path / "in"))
+    again = turns.upsert_latest(turns.event_stream(spark, str(tmp_path / "in")), str(tmp_path / "state"), str(tmp_path / "cp1"))
+    assert sorted(again.collect()) == sorted(turns.latest_state(events.unionByName(more)).collect())
+    events.union(events.limit(50)).repartition(1).write.parquet(str(tmp_path / "in2"))
     once = turns.run_available(turns.deduplicated_stream(turns.event_stream(spark, str(tmp_path / "in2"), 100)), str(tmp_path / "out"), str(tmp_path / "cp2"))
     assert once.count() == events.count()
 
