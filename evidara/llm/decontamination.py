@@ -1,6 +1,6 @@
 """Benchmark decontamination by windows of 13 words, with DataFrame functions only.
 
-The 64-bit hashes of length, first and last word of the benchmark's windows form a broadcast hash set. Each document is
+The 64-bit hashes of length, first, middle and last word of the benchmark's windows form a broadcast hash set. Each document is
 scanned once: at every position the hash of a window is looked up, and only the few that pass are spelled out and
 verified by an equality join with the benchmark's windows. A set of more than ``max_broadcast`` hashes is cut into
 blocks of that size, each of which scans the documents, so what is broadcast is bounded and nothing else changes.
@@ -33,11 +33,12 @@ def item_words(text: Column) -> Column:
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """gram, len, first, last, item_ids: each distinct window with the items that hold it."""
+    """gram, len, first, middle, last, item_ids: each distinct window with the items that hold it."""
     words = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), item_words(F.col("text")).alias("w")).where(F.size("w") > 0)
     at = words.select("item_id", "w", F.least(F.size("w"), F.lit(window)).alias("len")).withColumn("i", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)))
     one = at.select("item_id", "len", F.slice("w", F.col("i"), F.col("len")).alias("g"))
-    return one.groupBy(F.array_join("g", " ").alias("gram"), "len", F.col("g")[0].alias("first"), F.element_at("g", -1).alias("last")).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    middle = F.get("g", F.expr("len div 2").cast("int"))
+    return one.groupBy(F.array_join("g", " ").alias("gram"), "len", F.col("g")[0].alias("first"), middle.alias("middle"), F.element_at("g", -1).alias("last")).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
 
 
 def _scan(words: DataFrame, lengths: list[int], hashes: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def _scan(words: DataFrame, lengths: list[int], hashes: DataFrame) -> DataFrame:
     length = F.element_at(F.array(*[F.lit(x) for x in lengths]), F.when(F.col("j") < 0, 1).otherwise(F.col("j") % n + 1))
     at = at.select("doc_id", "key", "w", F.expr(f"if(j < 0, -1, cast(j div {n} as int))").alias("at"), length.alias("len"))
     last = F.col("at") + F.col("len") - 1
-    look = F.when((F.col("at") >= 0) & (last < F.size("w")), F.xxhash64("len", F.get("w", F.col("at")), F.get("w", last)))
+    look = F.when((F.col("at") >= 0) & (last < F.size("w")), F.xxhash64("len", F.get("w", F.col("at")), F.get("w", F.col("at") + F.expr("len div 2").cast("int")), F.get("w", last)))
     near = at.withColumn("look", look).join(F.broadcast(hashes.select(F.col("h").alias("_h"))), F.col("look") == F.col("_h"), "left").where("at < 0 OR _h IS NOT NULL")
     gram = F.when(F.col("at") >= 0, F.array_join(F.slice("w", F.col("at") + 1, F.col("len")), " "))
     return near.select("doc_id", "key", F.size("w").cast("long").alias("n_words"), "at", "len", gram.alias("gram"))
@@ -57,7 +58,7 @@ def _scan(words: DataFrame, lengths: list[int], hashes: DataFrame) -> DataFrame:
 def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_broadcast: int = 1_000_000) -> DataFrame:
     """doc_id, key, n_words, n_hit, item_ids and spans (start and end of runs of hit words, from 0) for every row of docs."""
     grams = settle(benchmark_windows(items, window), "grams")
-    hashes = settle(grams.select(F.xxhash64("len", "first", "last").alias("h")).distinct(), "hashes")
+    hashes = settle(grams.select(F.xxhash64("len", "first", "middle", "last").alias("h")).distinct(), "hashes")
     lengths = sorted(r["len"] for r in grams.select("len").distinct().collect()) or [window]
     blocks = max(1, -(-hashes.count() // max_broadcast))
     words = docs.select("doc_id", F.xxhash64("text").alias("key"), item_words(F.col("text")).alias("w"))

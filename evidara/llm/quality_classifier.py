@@ -26,7 +26,7 @@ PASSAGE, FOLDS, CUT = 50, 5, 0.3
 #: Bounds of what is learned from: documents, and passages of each, evenly spaced.
 MAX_DOCS, MAX_PASSAGES = 4_000, 64
 _KINDS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n\t\r\x0b\x0c", ".,;:", "!?", "'\"()[]{}", "#", "*", "$", "%&", "|", "<>", "-_/\\=+~^@`"]
-_KIND = np.full(256, len(_KINDS), np.int64)
+_KIND = np.full(256, len(_KINDS), np.uint8)
 for _i, _kind in enumerate(_KINDS):
     _KIND[list(_kind.encode())] = _i
 N_KINDS = len(_KINDS) + 1
@@ -46,12 +46,7 @@ def describe(text: str | None) -> np.ndarray:
         return np.zeros((1, N_FEATURES), np.float32)
     k = -(-n // PASSAGE)
     first = np.append(start[::PASSAGE], len(b))
-    of_byte = np.repeat(np.arange(k), np.diff(first))
-    kind, size = kind[first[0] :], np.diff(first).astype(float)
-    single = np.bincount(of_byte * N_KINDS + kind, minlength=k * N_KINDS).reshape(k, N_KINDS) / size[:, None]
-    width = N_KINDS * N_KINDS // 8
-    pair = (kind[:-1] * N_KINDS + kind[1:]) * 37 % width
-    double = np.bincount(of_byte[:-1] * width + pair, minlength=k * width).reshape(k, width) / size[:, None]
+    single, double = _counted(kind, first)
     words, of_word = _hash_piece(data) if len(data) < 1 << 20 else _long_hashes(data), np.arange(n) // PASSAGE
     held = np.bincount(of_word, minlength=k)
     mean = lambda x: np.bincount(of_word, weights=x, minlength=k) / held
@@ -68,6 +63,25 @@ def describe(text: str | None) -> np.ndarray:
     return np.concatenate([single, np.minimum(double, 1), more], axis=1).astype(np.float32)
 
 
+def _counted(kind: np.ndarray, first: np.ndarray, piece: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of each kind of byte and of pairs of neighbours in each passage; first: where passages begin, and the end.
+
+    Counted piece by piece, so that work arrays stay small for texts of any length.
+    """
+    k, width = len(first) - 1, N_KINDS * N_KINDS // 8
+    single, double = np.zeros((k, N_KINDS), np.float32), np.zeros((k, width), np.float32)
+    for low in range(first[0], first[-1], piece):
+        high = min(low + piece, first[-1])
+        of = np.searchsorted(first, np.arange(low, high), "right") - 1
+        a, b = of[0], of[-1] + 1
+        here = kind[low : high + 1].astype(np.int64)
+        single[a:b] += np.bincount((of - a) * N_KINDS + here[: high - low], minlength=(b - a) * N_KINDS).reshape(b - a, N_KINDS)
+        pair, of = (here[:-1] * N_KINDS + here[1:]) * 37 % width, of[: len(here) - 1]
+        double[a:b] += np.bincount((of - a) * width + pair, minlength=(b - a) * width).reshape(b - a, width)
+    size = np.diff(first).astype(np.float32)[:, None]
+    return single / size, double / size
+
+
 def _long_hashes(data: bytes) -> np.ndarray:
     from .shingles import word_hashes
 
@@ -150,7 +164,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_pass
     part = min(1.0, max_docs / max(known.count(), 1))
     picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * part))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInPandas(_bags(max_passages), f"doc_id {kind}, quality int, bag binary").collect()
+    # One row of each id, however often it is there: the text of least hash.
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).mapInPandas(_bags(max_passages), f"doc_id {kind}, quality int, bag binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["bag"])))
     return fit([np.frombuffer(r["bag"], np.float32).reshape(-1, N_FEATURES) for r in rows], [r["quality"] for r in rows])
 

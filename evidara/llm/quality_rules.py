@@ -85,7 +85,8 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, max_rows: int) -> Da
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     total = known.count()
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_rows / max(total, 1))))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    # One row of each id, however often it is there: the text of least hash.
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     return settle(text_statistics(rows, "doc_id", "quality").where(~base_failed()), "labelled-statistics")
 
 
