@@ -54,7 +54,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document before and after each e-mail address in it is replaced."""
     docs = table(spark, sf_dir, "documents")
-    return token_counts.count(docs, token_counts.redactions(docs))
+    return token_counts.count(docs, token_counts.redactions(docs), token_counts.with_addresses(docs))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

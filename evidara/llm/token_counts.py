@@ -215,10 +215,13 @@ def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, vocabulary:
     return texts.mapInPandas(_edited(vocabulary), f"doc_id {kind}, key long, text string, chars array<int>, tokens array<int>, n_edits long, n_refused long, n_reencoded long")
 
 
-def count(docs: DataFrame, edits: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens, n_tokens_after, n_edits, n_refused and n_reencoded for every row of docs, by stored trees."""
+def count(docs: DataFrame, edits: DataFrame, edited: DataFrame | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id, n_tokens, n_tokens_after, n_edits, n_refused and n_reencoded for every row of docs, by stored trees.
+
+    edited: the rows of docs that edits can be of, where fewer than all are known to be; only their texts are joined.
+    """
     trees = settle(build(docs, vocabulary), "trees")
-    after = settle(apply_edits(docs, trees, edits, vocabulary).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.get("tokens", F.lit(1)).cast("long").alias("_after"), "n_edits", "n_refused", "n_reencoded"), "after")
+    after = settle(apply_edits(docs if edited is None else edited, trees, edits, vocabulary).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.get("tokens", F.lit(1)).cast("long").alias("_after"), "n_edits", "n_refused", "n_reencoded"), "after")
     before = F.get("tokens", F.lit(1)).cast("long")
     none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     joined = trees.join(after, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
@@ -229,6 +232,11 @@ def count(docs: DataFrame, edits: DataFrame, vocabulary: str = VOCABULARY) -> Da
 EMAIL = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 
 
+def with_addresses(docs: DataFrame) -> DataFrame:
+    """The rows of docs in which EMAIL can match."""
+    return docs.where(F.col("text").contains("@"))
+
+
 def redactions(docs: DataFrame, pattern: str = EMAIL, inserted: str = "<email>") -> DataFrame:
     """The edits that replace every match of a pattern: doc_id, key, at, removed, inserted. One set for rows alike."""
     matcher = re.compile(pattern)
@@ -237,5 +245,5 @@ def redactions(docs: DataFrame, pattern: str = EMAIL, inserted: str = "<email>")
         return pd.Series([[{"at": m.start(), "removed": m.end() - m.start(), "inserted": inserted} for m in matcher.finditer(t or "")] for t in texts])
 
     found.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    some = keyed(docs.where(F.col("text").contains("@")) if pattern == EMAIL else docs).select("doc_id", "key", F.explode(F.pandas_udf(found, EDITS)("text")).alias("e"))
+    some = keyed(with_addresses(docs) if pattern == EMAIL else docs).select("doc_id", "key", F.explode(F.pandas_udf(found, EDITS)("text")).alias("e"))
     return some.select("doc_id", "key", "e.*").distinct()
