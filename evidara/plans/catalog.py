@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from ..operators import chunking, dedup, governance, relational, retrieval, texts
+from ..operators import chunking, dedup, evidence, governance, relational, retrieval, texts
 from ..streaming import turns
 from .registry import ORACLES, QUERIES, Query
 
-MODULES = (relational, texts, dedup, retrieval, chunking, governance, turns)
+MODULES = (relational, texts, dedup, retrieval, chunking, governance, evidence, turns)
 
 
 def queries() -> dict[str, Query]:
