@@ -28,12 +28,14 @@ def states(spark, d) -> DataFrame:
         first_match([(F.col("quality") == 1, "approved"), (F.col("quality") == 0, "rejected")], "approved").alias("content_quality"),
         F.get(F.array(*[F.lit(x) for x in ("trusted", "trusted_with_caution", "pending", "unknown", "untrusted")]), k).alias("source_trust"),
         first_match([(F.col("quality") == 1, "approved"), (F.col("quality") == 0, "rejected")], "pending").alias("semantic_review"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("isolated"),
+        F.concat(F.lit("snapshot_"), F.when(F.col("doc_id") % 23 == 0, "none").otherwise(F.sha2(F.col("source").cast("binary"), 256))).alias("snapshot_id"), F.when(F.col("doc_id") % 3 == 0, "internal").otherwise("web").alias("source_type"),
     )
 
 
 _STATES = """st AS (SELECT d.doc_id, source, CASE WHEN n_chars >= 20 THEN 'parsed' ELSE 'failed' END AS parse_status, CASE WHEN quality = 1 THEN 'approved' WHEN quality = 0 THEN 'rejected' ELSE 'approved' END AS content_quality,
 CASE regexp_extract(source, '([0-9]+)$', 1)::INT % 5 WHEN 0 THEN 'trusted' WHEN 1 THEN 'trusted_with_caution' WHEN 2 THEN 'pending' WHEN 3 THEN 'unknown' ELSE 'untrusted' END AS source_trust,
-CASE WHEN quality = 1 THEN 'approved' WHEN quality = 0 THEN 'rejected' ELSE 'pending' END AS semantic_review, coalesce(toxic = 1, false) AS isolated FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
+CASE WHEN quality = 1 THEN 'approved' WHEN quality = 0 THEN 'rejected' ELSE 'pending' END AS semantic_review, coalesce(toxic = 1, false) AS isolated,
+'snapshot_' || CASE WHEN d.doc_id % 23 = 0 THEN 'none' ELSE sha256(source) END AS snapshot_id, CASE WHEN d.doc_id % 3 = 0 THEN 'internal' ELSE 'web' END AS source_type FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 
 
 def eligibility_rules(purpose: str = "answer") -> list[tuple[Column, str, str]]:
@@ -42,13 +44,14 @@ def eligibility_rules(purpose: str = "answer") -> list[tuple[Column, str, str]]:
         raise ValueError(f"unknown purpose {purpose}")
     c = F.col
     return [
-        (c("source").isNull() | (c("source") == ""), "ineligible", "missing_source"),
+        (c("source").isNull() | (c("source") == "") | ~F.coalesce(c("snapshot_id").rlike("^snapshot_[0-9a-f]{64}$"), F.lit(False)), "ineligible", "missing_source"),
         (c("isolated"), "ineligible", "isolated"),
         (c("parse_status") != "parsed", "ineligible", "not_parsed"),
         (c("content_quality") != "approved", "ineligible", "content_not_approved"),
         (c("source_trust") == "untrusted", "ineligible", "untrusted_source"),
         (c("semantic_review") == "rejected", "ineligible", "semantic_rejected"),
         (F.lit(purpose == "knowledge_fact") & (c("semantic_review") != "approved"), "ineligible", "fact_not_approved"),
+        ((c("source_type") == "internal") & c("source_trust").isin("pending", "unknown"), "ineligible", "internal_not_confirmed"),
         ((c("source_trust") == "trusted") & (c("semantic_review") == "approved"), "eligible", "trusted_approved"),
         (c("source_trust").isin("trusted", "trusted_with_caution", "pending", "unknown") & c("semantic_review").isin("approved", "pending", "unknown"), "eligible_with_caution", "caution"),
     ]
@@ -59,7 +62,7 @@ def decide_eligibility(rows: DataFrame, purpose: str = "answer") -> DataFrame:
     return rows.select("doc_id", "source", first_match([(c, s) for c, s, _ in rules], "ineligible").alias("status"), first_match([(c, r) for c, _, r in rules], "default").alias("rule_id"))
 
 
-_ELIGIBLE = f"""{_STATES}, el AS (SELECT doc_id, source, CASE WHEN isolated THEN 'isolated' WHEN parse_status <> 'parsed' THEN 'not_parsed' WHEN content_quality <> 'approved' THEN 'content_not_approved' WHEN source_trust = 'untrusted' THEN 'untrusted_source' WHEN semantic_review = 'rejected' THEN 'semantic_rejected'
+_ELIGIBLE = f"""{_STATES}, el AS (SELECT doc_id, source, CASE WHEN coalesce(source, '') = '' OR NOT regexp_full_match(snapshot_id, 'snapshot_[0-9a-f]{{64}}') THEN 'missing_source' WHEN isolated THEN 'isolated' WHEN parse_status <> 'parsed' THEN 'not_parsed' WHEN content_quality <> 'approved' THEN 'content_not_approved' WHEN source_trust = 'untrusted' THEN 'untrusted_source' WHEN semantic_review = 'rejected' THEN 'semantic_rejected' WHEN source_type = 'internal' AND source_trust IN ('pending', 'unknown') THEN 'internal_not_confirmed'
 WHEN source_trust = 'trusted' AND semantic_review = 'approved' THEN 'trusted_approved' ELSE 'caution' END AS rule_id FROM st)"""
 _STATUS = "CASE rule_id WHEN 'trusted_approved' THEN 'eligible' WHEN 'caution' THEN 'eligible_with_caution' ELSE 'ineligible' END"
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans.registry import query
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 _LOWER_TOKENS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 
@@ -57,23 +58,61 @@ def lexical_index_capped(spark, d):
     return n.join(top, "term").select("term", "documents", "n")
 
 
-@query(r"""SELECT doc_id, length(text) AS character_count, len(list_filter(regexp_split_to_array(text, '\n[ \t]*\n'), lambda p: trim(p, ' ' || chr(9) || chr(10)) <> '')) AS paragraph_count,
-length(text) - length(replace(text, chr(65533), '')) AS replacement_count, len(list_filter(string_split(text, chr(10)), lambda l: length(l) - length(replace(l, '|', '')) >= 2)) AS table_lines,
-concat_ws(',', CASE WHEN length(text) - length(replace(text, chr(65533), '')) > 0 THEN 'replacement_character' END, CASE WHEN length(text) < 200 THEN 'short_document' END, CASE WHEN length(text) > 50000 THEN 'long_document' END,
- CASE WHEN len(list_filter(string_split(text, chr(10)), lambda l: length(l) - length(replace(l, '|', '')) >= 2)) >= 2 THEN 'suspected_table' END) AS issues FROM documents""")
-def corpus_profile(spark, d):
-    """Metrics of every document and the issues they raise."""
-    return profile(table(spark, d, "documents"))
+_PROFILE = r"""b AS (SELECT doc_id, trim(array_to_string(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(l, '^\s{0,3}#{1,6}(\s+.*|\s*)$')), chr(10)), ' ' || chr(9) || chr(10)) AS body FROM documents),
+p AS (SELECT doc_id, body, list_transform(list_filter(regexp_split_to_array(body, '\n\s*\n'), lambda x: trim(x, ' ' || chr(9) || chr(10)) <> ''), lambda x: length(trim(x, ' ' || chr(9) || chr(10)))) AS sizes, length(body) AS n,
+ length(regexp_replace(body, '[^\p{C}]', '', 'g')) - length(regexp_replace(body, '[^\x09-\x0D\x1C-\x1F\x{85}]', '', 'g')) AS odd FROM b),
+h AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS h FROM documents), hc AS (SELECT doc_id, h, count(*) AS k FROM h WHERE length(h) <= 60 GROUP BY 1, 2),
+hs AS (SELECT doc_id, sum(k) AS sections, coalesce(sum(k) FILTER (h = ''), 0) AS empty, coalesce(sum(k) FILTER (h <> '' AND k > 1), 0) AS dup FROM hc GROUP BY 1), c AS (SELECT doc_id, count(*) FILTER (h <> '') AS chunks FROM h GROUP BY 1),
+m AS (SELECT p.doc_id, n AS character_count, len(sizes) AS paragraph_count, CASE WHEN len(sizes) > 0 THEN round(list_sum(sizes)::DOUBLE / len(sizes), 6) ELSE 0.0 END AS average_paragraph_chars, coalesce(sections, 0)::BIGINT AS section_count, c.chunks AS chunk_count, length(body) - length(replace(body, chr(65533), '')) AS replacement_character_count,
+ len(list_filter(string_split(body, chr(10)), lambda l: length(l) - length(replace(l, '|', '')) >= 2)) AS suspected_table_line_count, odd AS abnormal_symbol_count, CASE WHEN n > 0 THEN round(odd::DOUBLE / n, 6) ELSE 0.0 END AS abnormal_symbol_ratio, coalesce(empty, 0)::BIGINT AS empty_heading_count, coalesce(dup, 0)::BIGINT AS duplicate_heading_count
+ FROM p LEFT JOIN hs ON hs.doc_id = p.doc_id LEFT JOIN c ON c.doc_id = p.doc_id)"""
 
 
-def profile(docs: DataFrame, short: int = 200, long: int = 50_000, table_lines: int = 2) -> DataFrame:
-    t = F.col("text")
-    paragraphs = F.size(F.filter(F.split(t, r"\n[ \t]*\n"), lambda p: F.btrim(p, F.lit(" \t\n")) != ""))
-    pipes = F.size(F.filter(F.split(t, "\n"), lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit(""))) >= 2))
-    lost = F.length(t) - F.length(F.replace(t, F.lit("�"), F.lit("")))
-    rows = docs.select("doc_id", F.length(t).cast("long").alias("character_count"), paragraphs.cast("long").alias("paragraph_count"), lost.cast("long").alias("replacement_count"), pipes.cast("long").alias("table_lines"))
-    issues = [("replacement_character", F.col("replacement_count") > 0), ("short_document", F.col("character_count") < short), ("long_document", F.col("character_count") > long), ("suspected_table", F.col("table_lines") >= table_lines)]
-    return rows.withColumn("issues", F.concat_ws(",", *[F.when(c, name) for name, c in issues]))
+@query(f"""WITH {_PROFILE} SELECT *, concat_ws(',', CASE WHEN character_count = 0 THEN 'empty_cleaned_content' END, CASE WHEN replacement_character_count > 0 THEN 'replacement_character' END) AS blocking,
+concat_ws(',', CASE WHEN abnormal_symbol_count > 0 AND abnormal_symbol_ratio >= 0.02 THEN 'abnormal_symbols' END, CASE WHEN duplicate_heading_count > 0 THEN 'duplicate_heading' END, CASE WHEN empty_heading_count > 0 THEN 'empty_heading' END, CASE WHEN character_count > 50000 THEN 'long_document' END, CASE WHEN chunk_count = 0 THEN 'missing_chunks' END,
+CASE WHEN section_count = 0 THEN 'missing_parsed' END, CASE WHEN character_count < 200 THEN 'short_document' END, CASE WHEN suspected_table_line_count >= 2 THEN 'suspected_table' END) AS warnings FROM m""")
+def corpus_profile(spark, d):
+    """Eleven metrics of every document and the issues they raise. Lines of 60 characters or less stand for the parsed
+    sections' headings, and lines with text for chunks."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    line = lambda x: F.btrim(x, F.lit(" "))
+    headings = F.filter(F.transform(F.split("text", "\n"), line), lambda x: F.length(x) <= 60)
+    chunks = F.size(F.filter(F.split("text", "\n"), lambda x: line(x) != ""))
+    return profile(X.fixed(spread(docs), "doc_id", text=F.col("text"), headings=headings, chunks=chunks))
+
+
+def profile(docs: DataFrame, short: int = 200, long: int = 50_000, table_lines: int = 2, odd_share: float = 0.02) -> DataFrame:
+    """docs: doc_id, text, headings (of its parsed sections, blank ones too) and chunks (their number).
+
+    The body is the text without Markdown headings. A blocking issue stops a release, a warning does not.
+    """
+    blank = F.lit(" \t\n")
+    body = F.btrim(F.array_join(F.filter(F.split("text", "\n"), lambda x: ~x.rlike(r"^\s{0,3}#{1,6}(\s+.*|\s*)$")), "\n"), blank)
+    named = F.filter("headings", lambda x: x != "")
+    rows = X.fixed(docs, "doc_id", "headings", "chunks", body=body, named=F.array_sort(named))
+    b = F.col("body")
+    sizes = F.transform(F.filter(F.split(b, r"\n\s*\n"), lambda p: F.btrim(p, blank) != ""), lambda p: F.length(F.btrim(p, blank)))
+    # A heading among its sorted fellows is repeated if either neighbour is equal.
+    repeated = F.size(F.filter("named", lambda x, i: (F.get("named", i - 1) == x) | (F.coalesce(F.get("named", i + 1), F.lit("")) == x)))
+    pipes = F.size(F.filter(F.split(b, "\n"), lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit(""))) >= 2))
+    odd = F.length(F.regexp_replace(b, r"[^\p{C}]", "")) - F.length(F.regexp_replace(b, r"[^\x09-\x0D\x1C-\x1F\x{85}]", ""))
+    n = F.length(b)
+    rows = X.fixed(rows, "doc_id", "chunks", "headings", "named", "body", sizes=sizes, n=n, odd=odd)
+    share = lambda a, of: F.when(of > 0, F.round(a / of, 6)).otherwise(0.0)
+    long_ = lambda c: c.cast("long")
+    m = rows.select(
+        "doc_id", long_(F.col("n")).alias("character_count"), long_(F.size("sizes")).alias("paragraph_count"), share(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x), F.size("sizes")).alias("average_paragraph_chars"), long_(F.size("headings")).alias("section_count"), long_(F.col("chunks")).alias("chunk_count"),
+        long_(n - F.length(F.replace(b, F.lit("�"), F.lit("")))).alias("replacement_character_count"), long_(pipes).alias("suspected_table_line_count"), long_(F.col("odd")).alias("abnormal_symbol_count"), share(F.col("odd"), F.col("n")).alias("abnormal_symbol_ratio"),
+        long_(F.size("headings") - F.size("named")).alias("empty_heading_count"), long_(repeated).alias("duplicate_heading_count"),
+    )
+    c = F.col
+    blocking = {"empty_cleaned_content": c("character_count") == 0, "replacement_character": c("replacement_character_count") > 0}
+    warnings = {
+        "abnormal_symbols": (c("abnormal_symbol_count") > 0) & (c("abnormal_symbol_ratio") >= odd_share), "duplicate_heading": c("duplicate_heading_count") > 0, "empty_heading": c("empty_heading_count") > 0, "long_document": c("character_count") > long,
+        "missing_chunks": c("chunk_count") == 0, "missing_parsed": c("section_count") == 0, "short_document": c("character_count") < short, "suspected_table": c("suspected_table_line_count") >= table_lines,
+    }
+    told = lambda rules: F.concat_ws(",", *[F.when(cond, F.lit(name)) for name, cond in rules.items()])
+    return m.withColumns({"blocking": told(blocking), "warnings": told(warnings)})
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), t AS (SELECT doc_id, trim(line) AS line FROM l)
@@ -94,40 +133,78 @@ def short_content_exclusions(spark, d):
     return c.groupBy("line").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents")).withColumn("decision", F.when(F.col("line") == "En.", "kept_as_term").otherwise("excluded_short"))
 
 
+_MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
 # Patterns of observations, by type.
 OBSERVATIONS = {
-    "ipv4_prefix": r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}/(?:[0-9]|[12][0-9]|3[0-2])\b",
-    "asn": r"\b[Aa][Ss]\s?[0-9]{1,10}\b",
+    "ipv4_prefix": r"\b(?:\d{1,3}\.){3}\d{1,3}/(?:[0-9]|[12][0-9]|3[0-2])\b",
+    "asn": r"(?i)\bAS\s?[0-9]{1,10}\b",
     "iso_date": r"\b20[0-9]{2}-[01][0-9]-[0-3][0-9]\b",
-    "utc_time": r"\b[0-2][0-9]:[0-5][0-9](?::[0-5][0-9])?\s?[Uu][Tt][Cc]\b",
-    "email": r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+",
-    "ipv4": r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b",
-    "long_number": r"\b[0-9]{6,}\b",
+    "month_date": rf"(?i)\b{_MONTH}\s+[0-3]?[0-9](?:st|nd|rd|th)?(?:,?\s+20[0-9]{{2}})?\b",
+    "day_month_date": rf"(?i)\b[0-3]?[0-9]\s+{_MONTH}\s+20[0-9]{{2}}\b",
+    "bgp4mp_timestamp": r"\bBGP4MP\|[0-9]{2}/[0-9]{2}/[0-9]{2}\s+[0-9]{2}:[0-9]{2}:[0-9]{2}\b",
+    "utc_time": r"(?i)\b[0-2][0-9]:[0-5][0-9](?::[0-5][0-9])?\s?UTC\b",
 }
+RADIUS = 120
 
 
 def observe(docs: DataFrame, *keep: str) -> DataFrame:
-    """type, value, count and first position for each distinct value in each document."""
-    found = F.flatten(F.array(*[_found(kind, pattern) for kind, pattern in OBSERVATIONS.items()]))
-    rows = docs.select("doc_id", *keep, "text", F.explode(found).alias("o")).select("doc_id", *keep, "o.type", "o.value", F.instr("text", F.col("o.value")).alias("at"))
-    return rows.groupBy("doc_id", *keep, "type", "value").agg(F.count("*").alias("n"), F.min("at").cast("long").alias("first_at"))
+    """doc_id, type, value, n, first_at and context: each distinct value of each text once, as it first stands.
+
+    first_at counts characters from 1; context is RADIUS characters on either side with white space collapsed. Where a
+    match lies is beyond Spark's own functions, so one Arrow pass over the texts finds all types. Null texts have none.
+    """
+
+    def found(texts: pd.Series) -> pd.Series:
+        import re
 
+        patterns = {kind: re.compile(p) for kind, p in OBSERVATIONS.items()}
 
-def _found(kind: str, pattern: str) -> Column:
-    return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value")))
+        def one(text: str | None) -> list[dict]:
+            seen: dict[tuple[str, str], dict] = {}
+            for kind, pattern in patterns.items():
+                for m in pattern.finditer(text or ""):
+                    value = f"AS{m[0][2:].strip()}" if kind == "asn" else m[0].strip()
+                    if (kind, value) in seen:
+                        seen[kind, value]["n"] += 1
+                    else:
+                        context = " ".join(text[max(0, m.start() - RADIUS) : m.end() + RADIUS].split())
+                        seen[kind, value] = {"type": kind, "value": value, "n": 1, "first_at": m.start() + 1, "context": context}
+            return list(seen.values())
 
+        return texts.map(one)
 
-_OBS_SQL = " UNION ALL ".join(f"SELECT doc_id, source, '{k}' AS type, unnest(regexp_extract_all(text, '{p}')) AS value, text FROM documents" for k, p in OBSERVATIONS.items())
+    found.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    kinds = "array<struct<type:string,value:string,n:bigint,first_at:bigint,context:string>>"
+    return spread(docs.select("doc_id", *keep, "text")).select("doc_id", *keep, F.explode(F.pandas_udf(found, kinds)("text")).alias("o")).select("doc_id", *keep, "o.*")
 
 
-@query(f"WITH o AS ({_OBS_SQL}) SELECT doc_id, type, value, count(*) AS n, min(instr(text, value)) AS first_at FROM o GROUP BY 1, 2, 3")
+_OBS_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, source, text, '{k}' AS type, unnest(m) AS raw, unnest(range(1, len(m) + 1)) AS i, m, s FROM (SELECT doc_id, source, text, regexp_extract_all(text, '{p}') AS m, regexp_split_to_array(text, '{p}') AS s FROM noted)" for k, p in OBSERVATIONS.items()
+)
+_NOTED = "noted AS (SELECT doc_id, source, text || chr(10) || 'Noted As ' || (64500 + doc_id % 7) || ' and AS' || doc_id || ' with 10.' || doc_id % 200 || '.0.0/16 at 09:3' || doc_id % 10 || ' UTC on ' || (1 + doc_id % 28) || ' March 2021, April 3rd, 2022, 2024-01-0' || (1 + doc_id % 9) || '; BGP4MP|01/02/24  10:00:0' || doc_id % 10 || ' again AS' || doc_id AS text FROM documents)"
+_OBS = f"""{_NOTED}, o AS ({_OBS_SQL}), v AS (SELECT doc_id, source, text, type, CASE WHEN type = 'asn' THEN 'AS' || trim(substring(raw, 3)) ELSE trim(raw) END AS value, length(raw) AS size,
+1 + coalesce(list_sum(list_transform(s[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS pos FROM o)"""
+
+
+@query(rf"""WITH {_OBS}, f AS (SELECT doc_id, type, value, count(*) AS n, min(pos) AS first_at FROM v GROUP BY 1, 2, 3)
+SELECT f.doc_id, f.type, f.value, n, first_at::BIGINT AS first_at, trim(regexp_replace(substring(text, greatest(first_at - 120, 1)::BIGINT, (size + 120 + least(first_at - 1, 120))::BIGINT), '\s+', ' ', 'g')) AS context FROM f JOIN v ON v.doc_id = f.doc_id AND v.type = f.type AND v.value = f.value AND v.pos = f.first_at""")
 def observations(spark, d):
-    return observe(table(spark, d, "documents"))
+    """Observations in documents, to each of which a line of notes is added."""
+    return observe(_noted(spark, d))
+
 
+def _noted(spark, d) -> DataFrame:
+    n = lambda x: x.cast("string")
+    i = F.col("doc_id")
+    line = F.concat(
+        F.lit("\nNoted As "), n(64500 + i % 7), F.lit(" and AS"), n(i), F.lit(" with 10."), n(i % 200), F.lit(".0.0/16 at 09:3"), n(i % 10), F.lit(" UTC on "), n(1 + i % 28), F.lit(" March 2021, April 3rd, 2022, 2024-01-0"), n(1 + i % 9), F.lit("; BGP4MP|01/02/24  10:00:0"), n(i % 10), F.lit(" again AS"), n(i),
+    )
+    return table(spark, d, "documents").select("doc_id", "source", F.concat("text", line).alias("text"))
 
-@query(f"WITH o AS ({_OBS_SQL}) SELECT source, type, count(DISTINCT value) AS n_values, count(DISTINCT doc_id) AS documents FROM o GROUP BY 1, 2")
+
+@query(f"WITH {_OBS} SELECT source, type, count(DISTINCT value) AS n_values, count(DISTINCT doc_id) AS documents FROM v GROUP BY 1, 2")
 def observations_by_source(spark, d):
-    return observe(table(spark, d, "documents"), "source").groupBy("source", "type").agg(F.countDistinct("value").alias("n_values"), F.countDistinct("doc_id").alias("documents"))
+    return observe(_noted(spark, d), "source").groupBy("source", "type").agg(F.countDistinct("value").alias("n_values"), F.countDistinct("doc_id").alias("documents"))
 
 
 @query(r"""SELECT doc_id, p AS first_at, CASE WHEN greatest(p - 120, 1) > 1 THEN '...' ELSE '' END || substring(t, greatest(p - 120, 1), 240) || CASE WHEN greatest(p - 120, 1) + 240 <= length(t) THEN '...' ELSE '' END AS excerpt
@@ -292,15 +369,26 @@ def html_extract_text(spark, d):
     return visible_text(table(spark, d, "pages"))
 
 
+def decoded(text: Column) -> Column:
+    """Text with every character reference decoded."""
+
+    def work(texts: pd.Series) -> pd.Series:
+        import html
+
+        return texts.map(html.unescape, na_action="ignore")
+
+    work.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(work, "string")(text)
+
+
 def visible_text(pages: DataFrame) -> DataFrame:
     hidden = r"(?is)<(script|style|noscript|svg)\b[^>]*>.*?(</\1\s*>|\z)|<!--.*?-->"
     body = F.regexp_replace("html", hidden, " ")
     body = F.regexp_replace(body, r"(?i)</?(p|div|section|article|h[1-6]|li|ul|ol|tr|table|main|nav|blockquote|pre|title)\b[^>]*>|<(header|footer|br)\b[^>]*>", "\n")
     body = F.regexp_replace(body, r"<[^>]*>", " ")
-    for entity, char in {"&nbsp;": " ", "&quot;": '"', "&#39;": "'", "&lt;": "<", "&gt;": ">", "&copy;": "©", "&middot;": "·", "&amp;": "&"}.items():
-        body = F.replace(body, F.lit(entity), F.lit(char))
+    body = decoded(body)
     lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.btrim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
-    return pages.select("page_id", F.btrim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), F.array_join(lines, "\n").alias("visible"))
+    return pages.select("page_id", F.btrim(decoded(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))).alias("title"), F.array_join(lines, "\n").alias("visible"))
 
 
 @query("""WITH c AS (SELECT o_orderstatus AS table_id, o_orderpriority, count(*)::VARCHAR AS n FROM orders GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY o_orderpriority, n) - 1 AS i FROM c)

@@ -62,6 +62,31 @@ def daily(events: DataFrame) -> DataFrame:
     return g.select("event_type", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("day"), "n", "total")
 
 
+@query("""WITH w AS (SELECT event_type, value, time_bucket(INTERVAL 12 HOUR, ts) - k * INTERVAL 12 HOUR AS start FROM events, (SELECT unnest(range(2)) AS k)) SELECT event_type, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY 1, 2""")
+def sliding_events(spark, d):
+    """Windows of a day that begin every twelve hours; an extra of this engine."""
+    return sliding(table(spark, d, "events"))
+
+
+def sliding(events: DataFrame) -> DataFrame:
+    """Works on batches and on streams with a watermark on ts."""
+    g = events.groupBy("event_type", F.window("ts", "1 day", "12 hours").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return g.select("event_type", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "total")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def session_events(spark, d):
+    """Sessions that end with six hours of silence; an extra of this engine."""
+    return sessions(table(spark, d, "events"))
+
+
+def sessions(events: DataFrame) -> DataFrame:
+    """Works on batches and on streams with a watermark on ts."""
+    g = events.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"))
+    return g.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
 def event_stream(spark, path: str, files_per_trigger: int = 1) -> DataFrame:
     """Parquet files of events as a stream."""
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
