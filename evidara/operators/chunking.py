@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..plans.registry import query
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 MAX_CHARS, MIN_CHARS = 1_800, 220
 
@@ -59,7 +60,48 @@ def _paragraph_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 
 @query()
 def semantic_chunks_plain(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text").mapInPandas(_paragraph_chunks, "doc_id long, position int, section string, content string, tokens int")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return docs.mapInPandas(_paragraph_chunks, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, position int, section string, content string, tokens int")
+
+
+MAX_CHUNK, LEVELS = 1_200, 6
+
+
+def hierarchy_chunks(blocks: DataFrame, longest: int = MAX_CHUNK) -> DataFrame:
+    """Section and chunks of each block (doc_id, position, block_type, level, text).
+
+    Headings nest by level: a section's path is its own heading under the last ones of smaller levels. Paragraphs, list
+    items and code are cut at the last space within longest characters; tables and formulas stay whole. Blocks of other
+    kinds, and blank ones, come back with a reason and without content. One window a document finds the headings above.
+    """
+    text = F.btrim("text", F.lit(" \t\n"))
+    heads = F.col("block_type").isin("title", "heading") & (text != "")
+    w = Window.partitionBy("doc_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    last = {f"_l{k}": F.max(F.when(heads & (F.col("level") == k), F.struct("position", text.alias("heading")))).over(w) for k in range(1, LEVELS + 1)}
+    blocks = blocks.withColumns(last)
+    # The last heading of a level holds if none of a smaller level came after it.
+    place = lambda k: F.coalesce(F.col(f"_l{k}.position"), F.lit(-1))
+    holds = [place(k) > F.greatest(F.lit(-1), F.lit(-1), *[place(j) for j in range(1, k)]) for k in range(1, LEVELS + 1)]
+    path = F.array_compact(F.array(*[F.when(h, F.col(f"_l{k}.heading")) for k, h in enumerate(holds, 1)]))
+    cut = F.regexp_extract_all(text, F.lit(rf"(?s)(?=\S)(?:.{{1,{longest}}}(?= |\z)|.{{1,{longest}}})"), F.lit(0))
+    splits, whole = F.col("block_type").isin("paragraph", "list_item", "code"), F.col("block_type").isin("table", "formula")
+    parts = F.when(splits & (text != ""), F.transform(cut, lambda x: F.btrim(x, F.lit(" \t\n")))).when(whole & (text != ""), F.array(text))
+    reason = F.when(heads, F.lit(None)).when((splits | whole) & (text == ""), "empty_content").when(F.col("block_type") == "picture", "asset_reference_only").when(~splits & ~whole, "unknown_block_type")
+    rows = X.fixed(blocks, "doc_id", "position", path=path, parts=parts, reason=reason, head=heads)
+    return rows.where("NOT head").select("doc_id", "position", F.array_join("path", " > ").alias("section_path"), "reason", F.posexplode_outer("parts").alias("part", "content"))
+
+
+@query(r"""WITH RECURSIVE b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS position FROM documents),
+k AS (SELECT doc_id, position, trim(text, ' ' || chr(9) || chr(10)) AS t, CASE WHEN length(trim(text)) BETWEEN 1 AND 60 THEN 'heading' WHEN text LIKE '|%' THEN 'table' ELSE 'paragraph' END AS kind FROM b),
+c(doc_id, position, part, content, rest) AS (SELECT doc_id, position, -1, '', t FROM k WHERE kind = 'paragraph' AND t <> '' UNION ALL
+ SELECT doc_id, position, part + 1, trim(left(rest, x), ' ' || chr(9) || chr(10)), trim(substring(rest, x + 1), ' ' || chr(9) || chr(10)) FROM (SELECT *, CASE WHEN length(rest) <= 1200 THEN length(rest) WHEN instr(reverse(left(rest, 1201)), ' ') BETWEEN 1 AND 1200 THEN 1201 - instr(reverse(left(rest, 1201)), ' ') ELSE 1200 END::INT AS x FROM c WHERE rest <> '')),
+h AS (SELECT k.doc_id, k.position, (SELECT arg_max(x.t, x.position) FROM k x WHERE x.doc_id = k.doc_id AND x.kind = 'heading' AND x.position < k.position) AS section FROM k)
+SELECT k.doc_id, k.position, coalesce(h.section, '') AS section_path, CASE WHEN k.t = '' THEN 'empty_content' END AS reason, c.part, c.content FROM k JOIN h ON h.doc_id = k.doc_id AND h.position = k.position LEFT JOIN (SELECT doc_id, position, part, content FROM c WHERE part >= 0 UNION ALL SELECT doc_id, position, 0, t FROM k WHERE kind = 'table' AND t <> '') c ON c.doc_id = k.doc_id AND c.position = k.position WHERE k.kind <> 'heading'""")
+def section_chunks(spark, d):
+    """Lines of documents as blocks, short ones as headings of one level, in chunks of 1200 characters at most."""
+    lines = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("position", "text"))
+    kind = F.when(F.length(F.trim("text")).between(1, 60), "heading").when(F.col("text").startswith("|"), "table").otherwise("paragraph")
+    return hierarchy_chunks(lines.select("doc_id", F.col("position").cast("long").alias("position"), kind.alias("block_type"), F.lit(1).alias("level"), "text")).withColumn("part", F.col("part").cast("long"))
 
 
 @query("""WITH b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS p FROM documents), h AS (SELECT doc_id, p, 1 + length(line) % 4 AS level FROM b WHERE length(line) BETWEEN 1 AND 80)

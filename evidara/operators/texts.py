@@ -28,7 +28,8 @@ def token_estimates(spark, d):
 
 @query("SELECT t AS token, count(*) AS postings, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_./:-]{2,}')) AS t FROM documents) GROUP BY 1")
 def token_postings(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_./:-]{2,}"), F.lit(0))).alias("token"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    rows = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_./:-]{2,}"), F.lit(0))).alias("token"))
     return rows.groupBy("token", "doc_id").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("postings"), F.count("*").alias("documents"))
 
 
@@ -42,7 +43,7 @@ def term_lookup(spark, d):
 
 def postings(docs: DataFrame, *keep: str) -> DataFrame:
     """term, doc_id, n: how often each document has each token."""
-    return docs.select("doc_id", *keep, F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id", *keep).agg(F.count("*").alias("n"))
+    return spread(docs).select("doc_id", *keep, F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id", *keep).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH p AS (SELECT DISTINCT doc_id, unnest({_LOWER_TOKENS.format('text')}) AS term FROM documents), r AS (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS r FROM p)
@@ -51,7 +52,7 @@ def lexical_index_capped(spark, d):
     """Inverted index of which an entry lists 50 documents at most; the cap is the index's feature, n counts all."""
     from pyspark.sql import Window
 
-    p = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
+    p = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
     n = p.groupBy("term").agg(F.count("*").alias("n"))
     first = p.select("term", "doc_id", F.row_number().over(Window.partitionBy("term").orderBy("doc_id")).alias("r")).where("r <= 50")
     top = first.groupBy("term").agg(F.array_join(F.array_sort(F.collect_list("doc_id")), ",").alias("documents"))
@@ -284,6 +285,19 @@ def infer_heading(line: Column) -> tuple[Column, Column]:
     return kind.alias("kind"), F.when(number.isNotNull(), F.size(F.split(number, r"\."))).otherwise(1).cast("long").alias("level")
 
 
+#: A menu: at least so many list items in a row that are one short link each.
+NAV_ITEMS, NAV_CHARS = 4, 40
+_NAV_ITEM = r"<li[^>]*>\s*<a [^>]*>[^<]{0,40}</a>\s*</li>"
+
+
+@query(rf"""WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, '(?:{_NAV_ITEM}\s*){{4,}}')) AS run FROM pages) SELECT page_id, count(*) AS runs, sum(len(regexp_extract_all(run, '<li')))::BIGINT AS items, max(len(regexp_extract_all(run, '<li')))::BIGINT AS longest FROM r GROUP BY 1""")
+def nav_link_runs(spark, d):
+    """Menus found as runs of list items that are short links."""
+    run = F.regexp_extract_all("html", F.lit(rf"(?:{_NAV_ITEM}\s*){{{NAV_ITEMS},}}"), F.lit(0))
+    rows = table(spark, d, "pages").select("page_id", F.explode(run).alias("run")).select("page_id", X.n_matches(F.col("run"), "<li").alias("n"))
+    return rows.groupBy("page_id").agg(F.count("*").alias("runs"), F.sum("n").alias("items"), F.max("n").alias("longest"))
+
+
 @query(r"""SELECT page_id, len(regexp_extract_all(html, '<li>')) AS items, len(regexp_extract_all(html, '<p>')) AS paragraphs, len(regexp_extract_all(html, '<a [^>]*>')) AS links, len(regexp_extract_all(html, '<li>')) >= 4 AND len(regexp_extract_all(html, '<a [^>]*>')) * 2 >= len(regexp_extract_all(html, '<li>')) AS has_nav_run FROM pages""")
 def nav_runs(spark, d):
     """Pages with a run of four or more list items of which half or more are links."""

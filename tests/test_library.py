@@ -191,6 +191,16 @@ def test_chunks_respect_bounds(spark, sf_dir):
     assert rows and all(chunking.MIN_CHARS <= r["n"] <= chunking.MAX_CHARS for r in rows)
 
 
+def test_section_chunks_nest_and_cut(spark):
+    long = " ".join(["word"] * 400) + " " + "x" * 2500
+    rows = [(1, 0, "paragraph", None, "before"), (1, 1, "title", 1, "A"), (1, 2, "heading", 3, "B"), (1, 3, "paragraph", None, long), (1, 4, "heading", 2, " C "), (1, 5, "table", None, "t" * 3000), (1, 6, "picture", None, "p"), (1, 7, "heading", 2, "D"), (1, 8, "list_item", None, "  "), (1, 9, "odd", None, "?")]
+    out = {(r["position"], r["part"]): r for r in chunking.hierarchy_chunks(spark.createDataFrame(rows, "doc_id long, position long, block_type string, level int, text string")).collect()}
+    assert out[0, 0]["section_path"] == "" and out[3, 0]["section_path"] == "A > B" and out[5, 0]["section_path"] == "A > C" and len(out[5, 0]["content"]) == 3000
+    parts = [out[3, k]["content"] for k in range(5)]
+    assert "".join(parts).replace(" ", "") == long.replace(" ", "") and [len(p) for p in parts] == [1199, 799, 1200, 1200, 100]
+    assert {r["position"]: r["reason"] for r in out.values() if r["reason"]} == {6: "asset_reference_only", 8: "empty_content", 9: "unknown_block_type"} and out[8, None]["section_path"] == "A > D"
+
+
 def test_streams_match_batches(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     events.union(events.limit(50)).repartition(3).write.parquet(str(tmp_path / "in"))
