@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans.registry import query
+from ..plans.settled import settle
 from ..sources.tables import table
 from .governance import first_match
 from .relational import EDGES_SQL, place_edges
@@ -352,3 +353,69 @@ def map_override(spark, d):
     text = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     changed = F.array_sort(F.filter(F.map_keys("base"), lambda k: (F.element_at("base", k) != F.element_at("m", k)) & (k != "size")))
     return rows.select("doc_id", text(F.col("m")).alias("merged"), F.array_join(changed, ",").alias("changed"))
+
+
+def answer_metrics(answers: DataFrame) -> DataFrame:
+    """Figures of answers: claims, cited_claims, citations, valid (ids that exist), supported (that bear the claim),
+    expected and status (answered or no_evidence), injected and followed. A figure without a case is null."""
+    share = lambda a, of: F.round(F.sum(a) / F.nullif(F.sum(of), F.lit(0)), 6)
+    none, held = F.col("expected") == "no_evidence", F.col("injected") & ~F.col("followed")
+    count = lambda c: F.when(c, 1).otherwise(0)
+    return answers.agg(
+        F.count("*").alias("answers"), share("cited_claims", "claims").alias("claim_citation_coverage"), share("supported", "citations").alias("citation_precision"), share("valid", "citations").alias("citation_id_validity"),
+        share(count(none & (F.col("status") == "no_evidence")), count(none)).alias("rejection_rate"), share(count(held), count(F.col("injected"))).alias("injection_protection"),
+    )
+
+
+@query("""WITH a AS (SELECT o_orderkey, count(l_orderkey) AS claims, count(*) FILTER (l_returnflag <> 'N') AS cited, count(*) FILTER (l_returnflag <> 'N' AND l_suppkey % 50 <> 0) AS valid, count(*) FILTER (l_returnflag <> 'N' AND l_suppkey % 50 <> 0 AND l_quantity > 10) AS supported,
+any_value(o_orderstatus) AS st, any_value(o_orderpriority) AS pr FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT count(*) AS answers, round(sum(cited)::DOUBLE / sum(claims), 6) AS claim_citation_coverage, round(sum(supported)::DOUBLE / sum(cited), 6) AS citation_precision, round(sum(valid)::DOUBLE / sum(cited), 6) AS citation_id_validity,
+round(count(*) FILTER (st = 'P' AND cited = 0)::DOUBLE / count(*) FILTER (st = 'P'), 6) AS rejection_rate, round(count(*) FILTER (pr = '1-URGENT' AND claims < 5)::DOUBLE / count(*) FILTER (pr = '1-URGENT'), 6) AS injection_protection FROM a""")
+def answer_quality(spark, d):
+    """Orders as answers and their lines as claims, of which returned or accepted ones cite a supplier."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_returnflag") != "N").alias("cited"), (F.col("l_suppkey") % 50 != 0).alias("known"), "l_quantity")
+    per = lines.groupBy("l_orderkey").agg(F.count("*").alias("claims"), F.count_if("cited").alias("cited_claims"), F.count_if(F.col("cited") & F.col("known")).alias("valid"), F.count_if(F.col("cited") & F.col("known") & (F.col("l_quantity") > 10)).alias("supported"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    rows = table(spark, d, "orders").join(per, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderstatus", "o_orderpriority", *[zero(c) for c in ("claims", "cited_claims", "valid", "supported")])
+    return answer_metrics(rows.select(
+        "claims", "cited_claims", F.col("cited_claims").alias("citations"), "valid", "supported", F.when(F.col("o_orderstatus") == "P", "no_evidence").otherwise("answered").alias("expected"), F.when(F.col("cited_claims") == 0, "no_evidence").otherwise("answered").alias("status"),
+        (F.col("o_orderpriority") == "1-URGENT").alias("injected"), (F.col("claims") >= 5).alias("followed"),
+    ))
+
+
+@query("""SELECT s_suppkey AS entity, '{"@context":"https://schema.org","@id":"urn:supplier:' || s_suppkey || '","@type":"Organization","name":"' || s_name || '","location":{"@id":"urn:nation:' || s_nationkey || '"}}' AS record FROM supplier""")
+def jsonld_entities(spark, d):
+    """Entities as JSON-LD records."""
+    urn = lambda kind, c: F.concat(F.lit(f"urn:{kind}:"), F.col(c).cast("string"))
+    record = F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), urn("supplier", "s_suppkey").alias("@id"), F.lit("Organization").alias("@type"), F.col("s_name").alias("name"), F.struct(urn("nation", "s_nationkey").alias("@id")).alias("location")))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("entity"), record.alias("record"))
+
+
+@query("""SELECT 'entity' AS kind, 'document:' || doc_id AS subject, '' AS object FROM documents UNION ALL SELECT DISTINCT 'activity', 'ingest:' || source, '' FROM documents UNION ALL SELECT 'wasGeneratedBy', 'document:' || doc_id, 'ingest:' || source FROM documents UNION ALL SELECT 'wasDerivedFrom', 'item:' || item_id, 'document:' || min(doc_id) FROM benchmark JOIN documents ON documents.text = benchmark.text GROUP BY item_id""")
+def prov_records(spark, d):
+    """Provenance of documents: what each is, which activity made it, and what was derived from it."""
+    docs = table(spark, d, "documents").select(F.concat(F.lit("document:"), F.col("doc_id").cast("string")).alias("doc"), F.concat(F.lit("ingest:"), "source").alias("act"), "doc_id", "text")
+    row = lambda df, kind, s, o: df.select(F.lit(kind).alias("kind"), s.alias("subject"), o.alias("object"))
+    none = F.lit("")
+    items = table(spark, d, "benchmark").join(docs, "text").groupBy("item_id").agg(F.min("doc_id").alias("m"))
+    derived = row(items, "wasDerivedFrom", F.concat(F.lit("item:"), F.col("item_id").cast("string")), F.concat(F.lit("document:"), F.col("m").cast("string")))
+    return row(docs, "entity", F.col("doc"), none).unionByName(row(docs.select("act").distinct(), "activity", F.col("act"), none)).unionByName(row(docs, "wasGeneratedBy", F.col("doc"), F.col("act"))).unionByName(derived)
+
+
+def sequential(df: DataFrame, *order: str) -> DataFrame:
+    """df with seq, its place from 1 in a total order, without a task that sees all rows.
+
+    Ranges of the order are sorted apart and written; the counts of those before give each range its first number.
+    """
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id())
+    parts = settle(sorted_.withColumns({"_part": F.shiftright("_i", 33), "_i": F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))}), "ranges")
+    counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return parts.join(before, F.col("_part") == F.col("_p")).withColumn("seq", F.col("_before") + F.col("_i") + 1).drop("_part", "_i", "_p", "_before")
+
+
+@query(f"""WITH e AS ({EDGES_SQL}), u AS (SELECT DISTINCT * FROM e) SELECT 'rel_' || printf('%05d', row_number() OVER (ORDER BY src, relation, dst)) AS rel_id, src, relation, dst FROM u""")
+def serving_relationships(spark, d):
+    """Edges as the serving store keeps them: repeated ones ignored, numbered in order."""
+    e = place_edges(spark, d)
+    return sequential(e.unionByName(e.where("relation = 'part_of'")).distinct(), "src", "relation", "dst").select(F.concat(F.lit("rel_"), F.lpad(F.col("seq").cast("string"), 5, "0")).alias("rel_id"), "src", "relation", "dst")

@@ -272,7 +272,7 @@ def entity_evidence_sample(spark, d):
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), h AS (SELECT doc_id, line, CASE WHEN regexp_matches(line, '^[0-9]{1,2}(\.[0-9]{1,2})*\.?\s+\S') THEN regexp_extract(line, '^([0-9]{1,2}(\.[0-9]{1,2})*)', 1) END AS num FROM l WHERE length(line) BETWEEN 1 AND 160)
-SELECT CASE WHEN num IS NOT NULL THEN 'arabic' WHEN regexp_matches(line, '^Appendix [A-Z]') THEN 'appendix' WHEN regexp_matches(line, '^[IVX]+\. ') THEN 'roman' WHEN regexp_matches(line, '^[A-Z][^.!?]*$') THEN 'named' ELSE 'body' END AS kind, CASE WHEN num IS NOT NULL THEN len(string_split(num, '.')) ELSE 1 END AS level, count(*) AS n FROM h GROUP BY 1, 2""")
+SELECT CASE WHEN num IS NOT NULL THEN 'arabic' WHEN regexp_matches(line, '^Appendix [A-Z]') THEN 'appendix' WHEN regexp_matches(line, '^[IVX]+\. ') THEN 'roman' WHEN regexp_matches(line, '^[A-Z][.)] \S') THEN 'letter' WHEN regexp_matches(line, '^[A-Z][^.!?]*$') THEN 'named' ELSE 'body' END AS kind, CASE WHEN num IS NOT NULL THEN len(string_split(num, '.')) ELSE 1 END AS level, count(*) AS n FROM h GROUP BY 1, 2""")
 def heading_level_infer(spark, d):
     lines = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("line")).where(F.length("line").between(1, 160))
     return lines.select(*infer_heading(F.col("line"))).groupBy("kind", "level").agg(F.count("*").alias("n"))
@@ -281,7 +281,7 @@ def heading_level_infer(spark, d):
 def infer_heading(line: Column) -> tuple[Column, Column]:
     """Kind of a line and its heading level, by its numbering."""
     number = F.when(line.rlike(r"^[0-9]{1,2}(\.[0-9]{1,2})*\.?\s+\S"), F.regexp_extract(line, r"^([0-9]{1,2}(\.[0-9]{1,2})*)", 1))
-    kind = F.when(number.isNotNull(), "arabic").when(line.rlike("^Appendix [A-Z]"), "appendix").when(line.rlike(r"^[IVX]+\. "), "roman").when(line.rlike(r"^[A-Z][^.!?]*$"), "named").otherwise("body")
+    kind = F.when(number.isNotNull(), "arabic").when(line.rlike("^Appendix [A-Z]"), "appendix").when(line.rlike(r"^[IVX]+\. "), "roman").when(line.rlike(r"^[A-Z][.)] \S"), "letter").when(line.rlike(r"^[A-Z][^.!?]*$"), "named").otherwise("body")
     return kind.alias("kind"), F.when(number.isNotNull(), F.size(F.split(number, r"\."))).otherwise(1).cast("long").alias("level")
 
 
