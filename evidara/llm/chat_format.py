@@ -36,12 +36,8 @@ def _said(text: Column) -> Column:
     return text
 
 
-def numbered(turns: DataFrame) -> DataFrame:
-    """conv_id, author, body, before and n: distinct turns with how many turns come before them and how often they are said."""
-    author = F.when(F.coalesce(F.btrim("role"), F.lit("")) == "", UNKNOWN).otherwise(F.col("role"))
-    said = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), author.alias("author"), F.coalesce("text", F.lit("")).alias("body"))
-    said = said.groupBy("conv_id", "turn", "author", "body").agg(F.count("*").alias("n")).withColumn("hash", F.md5(F.concat_ws("|", "author", "body").cast("binary")))
-    said = settle(said.withColumns({"block": F.floor(F.col("turn") / NUMBERS), "bin": F.substring("hash", 1, DIGITS)}), "said")
+def numbered(said: DataFrame) -> DataFrame:
+    """said with before: how many turns come before each row of its conversation."""
     upto = lambda order, *keys: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bins = said.groupBy("conv_id", "block", "turn", "bin").agg(F.sum("n").alias("n"))
     bins = bins.withColumn("in_block", upto(["turn", "bin"], "conv_id", "block"))
@@ -54,25 +50,36 @@ def numbered(turns: DataFrame) -> DataFrame:
     return inner.join(places, alike(["conv_id", "turn", "bin"])).select("conv_id", "author", "body", (F.col("_before") + F.col("in_bin")).alias("before"), "n")
 
 
+def distinct_turns(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, author, body, with how often each is said (n), and the block, hash and bin that it is numbered by."""
+    author = F.when(F.coalesce(F.btrim("role"), F.lit("")) == "", UNKNOWN).otherwise(F.col("role"))
+    said = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), author.alias("author"), F.coalesce("text", F.lit("")).alias("body"))
+    said = said.groupBy("conv_id", "turn", "author", "body").agg(F.count("*").alias("n")).withColumn("hash", F.md5(F.concat_ws("|", "author", "body").cast("binary")))
+    return settle(said.withColumns({"block": F.floor(F.col("turn") / NUMBERS), "bin": F.substring("hash", 1, DIGITS)}), "said")
+
+
 def rotate(turns: DataFrame, most: int = TURNS) -> DataFrame:
     """conv_id, speaker, part, n_turns, text, masks and n_trained: each participant's view of each part of the dialogue.
 
-    masks: start-end of the trained spans, in characters of text, joined by commas. n_trained: their characters.
+    masks: start-end of the trained spans, in characters of text, joined by commas. n_trained: their characters. Turns
+    meet by conversation and part once, and are rendered for every speaker behind the last shuffle.
     """
-    rows = numbered(turns)
+    said = distinct_turns(turns)
+    speakers = settle(said.where(F.col("author") != SYSTEM).select(F.col("conv_id").alias("_conv"), F.col("author").alias("speaker")).distinct(), "speakers")
+    rows = numbered(said)
     first, last = F.floor(F.col("before") / most), F.floor((F.col("before") + F.col("n") - 1) / most)
     rows = rows.withColumn("part", F.explode(F.sequence(first, last)))
     times = F.least(F.col("before") + F.col("n"), (F.col("part") + 1) * most) - F.greatest("before", F.col("part") * most)
-    rows = settle(rows.select("conv_id", "author", "body", "part", F.greatest("before", F.col("part") * most).alias("at"), times.cast("int").alias("times")), "turns")
-    speakers = settle(rows.where(F.col("author") != SYSTEM).select(F.col("conv_id").alias("_conv"), F.col("author").alias("speaker")).distinct(), "speakers")
-    seen = rows.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv")))
-    own = F.col("author") == F.col("speaker")
-    role = F.when(F.col("author") == SYSTEM, F.lit(SYSTEM)).when(own, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), F.translate(_said(F.col("author")), "\r\n", "  ")))
-    head = F.concat(F.lit(OPEN), role, F.lit("\n"))
-    one = F.struct("at", "times", head.alias("head"), F.concat(_said(F.col("body")), F.lit(CLOSE + "\n")).alias("tail"), own.alias("own"))
-    parts = seen.groupBy("conv_id", "speaker", "part").agg(F.sort_array(F.collect_list(one)).alias("s"))
-    each = F.flatten(F.transform("s", lambda x: F.array_repeat(F.struct(x["head"].alias("head"), x["tail"].alias("tail"), x["own"].alias("own")), x["times"])))
-    parts = parts.select("conv_id", "speaker", "part", each.alias("s"))
+    one = F.struct(F.greatest("before", F.col("part") * most).alias("at"), times.cast("int").alias("times"), "author", "body")
+    parts = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(one)).alias("said"))
+    seen = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv")))
+
+    def turn(x: Column) -> Column:
+        own = x["author"] == F.col("speaker")
+        role = F.when(x["author"] == SYSTEM, F.lit(SYSTEM)).when(own, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), F.translate(_said(x["author"]), "\r\n", "  ")))
+        return F.array_repeat(F.struct(F.concat(F.lit(OPEN), role, F.lit("\n")).alias("head"), F.concat(_said(x["body"]), F.lit(CLOSE + "\n")).alias("tail"), own.alias("own")), x["times"])
+
+    parts = seen.select("conv_id", "speaker", "part", F.flatten(F.transform("said", turn)).alias("s"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("masks"), F.lit(0).cast("long").alias("n"))
 
     def add(a: Column, x: Column) -> Column:

@@ -54,16 +54,16 @@ _SAID = "replace(replace({0}, '<|im_start|>', '<|im_start |>'), '<|im_end|>', '<
 
 OP6 = f"""
 WITH t AS (SELECT conv_id, turn, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE role END AS author, coalesce(text, '') AS body FROM conversations),
-o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(author || '|' || body), author, body) - 1 AS at FROM t),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(author || '|' || body), author, body) - 1 AS pos FROM t),
 p AS (SELECT DISTINCT conv_id, author AS speaker FROM t WHERE author <> 'system'),
-r AS (SELECT o.conv_id, speaker, at, at // 256 AS part, author = speaker AS own,
+r AS (SELECT o.conv_id, speaker, pos, pos // 256 AS part, author = speaker AS own,
              '<|im_start|>' || CASE WHEN author = 'system' THEN 'system' WHEN author = speaker THEN 'assistant'
                                     ELSE 'user name=' || translate({_SAID.format("author")}, chr(13) || chr(10), '  ') END || chr(10) AS head,
              {_SAID.format("body")} || '<|im_end|>' || chr(10) AS tail
       FROM o JOIN p ON o.conv_id IS NOT DISTINCT FROM p.conv_id),
-h AS (SELECT *, sum(length(head) + length(tail)) OVER (PARTITION BY conv_id, speaker, part ORDER BY at) AS stop FROM r)
-SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(head || tail, '' ORDER BY at) AS text,
-       coalesce(string_agg(CAST(stop - length(tail) AS VARCHAR) || '-' || CAST(stop AS VARCHAR), ',' ORDER BY at) FILTER (own), '') AS masks,
+h AS (SELECT *, sum(length(head) + length(tail)) OVER (PARTITION BY conv_id, speaker, part ORDER BY pos) AS stop FROM r)
+SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(head || tail, '' ORDER BY pos) AS text,
+       coalesce(string_agg(CAST(stop - length(tail) AS VARCHAR) || '-' || CAST(stop AS VARCHAR), ',' ORDER BY pos) FILTER (own), '') AS masks,
        coalesce(sum(length(tail)) FILTER (own), 0) AS n_trained
 FROM h GROUP BY conv_id, speaker, part
 """

@@ -63,7 +63,7 @@ def test_token_counts_query(spark, edge_docs, docs, no_docs):
     encoding = bpe.tokenizer()
     count = lambda t: len(encoding.encode_ordinary(t))
     for df in (docs, edge_docs):
-        got = sorted((str(r["doc_id"]), r["n_tokens"], r["n_tokens_after"], r["n_edits"]) for r in token_counts.count(df, token_counts.redactions(df)).collect())
+        got = sorted((str(r["doc_id"]), r["n_tokens"], r["n_tokens_after"], r["n_edits"]) for r in token_counts.count(df, token_counts.redactions(df), token_counts.with_addresses(df)).collect())
         want = []
         for r in df.collect():
             new, n = re.subn(token_counts.EMAIL, "<email>", r["text"] or "")
