@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans.registry import query
+from ..plans.settled import settle
 from ..sources.tables import spread, table
+from .evidence import sequential
 
 MAX_CHARS, MIN_CHARS = 1_800, 220
 
@@ -131,10 +134,34 @@ def chunk_structure_metrics(spark, d):
 @query("""WITH g AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY length(text), turn) AS r FROM conversations), p AS (SELECT a.conv_id, count(*) AS pairs, count(*) FILTER (a.r < b.r) AS right_order FROM g a JOIN g b ON a.conv_id = b.conv_id AND a.turn < b.turn GROUP BY 1) SELECT conv_id, pairs, right_order, round(right_order::DOUBLE / pairs, 6) AS accuracy FROM p""")
 def reading_order_accuracy(spark, d):
     """Share of block pairs in the right order, of an order by length against the true one."""
-    g = table(spark, d, "conversations").select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.length("text"), "turn")).alias("r"))
-    a, b = g.select("conv_id", F.col("turn").alias("ta"), F.col("r").alias("ra")), g.select("conv_id", F.col("turn").alias("tb"), F.col("r").alias("rb"))
-    p = a.join(b, "conv_id").where("ta < tb").groupBy("conv_id").agg(F.count("*").alias("pairs"), F.count_if(F.col("ra") < F.col("rb")).alias("right_order"))
-    return p.withColumn("accuracy", F.round(F.col("right_order") / F.col("pairs"), 6))
+    blocks = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("size"))
+    return order_accuracy(blocks, "conv_id", "turn", ["size", "turn"])
+
+
+def order_accuracy(rows: DataFrame, group: str, true: str, found: list[str]) -> DataFrame:
+    """group, pairs, right_order and accuracy of an order by the columns found against the true one.
+
+    No pairs are made. A row's rank in the found order is split bit by bit: two rows whose ranks first differ at a bit
+    are in the right order if the one without it comes first, and how many such there are follows from the sum of places
+    of the rows with it. Each bit takes one sort of all rows over all tasks, and there are as many as the longest group
+    needs. Rows with one true place are no pair.
+    """
+    keyed = sequential(rows.select(group, F.col(true).alias("_t"), *[F.col(c).alias(f"_f{i}") for i, c in enumerate(found)]), group, *[f"_f{i}" for i in range(len(found))])
+    first = keyed.groupBy(group).agg(F.min("seq").alias("_s"), F.count("*").alias("_n"))
+    ties = keyed.groupBy(group, "_t").agg(F.count("*").alias("_c")).groupBy(group).agg(F.sum(F.expr("_c * (_c - 1) div 2")).alias("_same"))
+    sizes = settle(first.join(ties, first[group].eqNullSafe(ties[group])).select(first[group].alias("_g"), "_s", (F.expr("_n * (_n - 1) div 2") - F.col("_same")).alias("pairs"), "_n"), "sizes")
+    ranked = settle(keyed.join(sizes, F.col(group).eqNullSafe(F.col("_g"))).select("_g", "_t", (F.col("seq") - F.col("_s")).alias("_r")), "ranked")
+    longest = sizes.agg(F.max("_n")).first()[0] or 0
+    right = []
+    for bit in range(max(1, (longest - 1).bit_length())):
+        cell = ranked.withColumns({"_cell": F.shiftright("_r", bit + 1), "_down": -F.col("_r")})
+        placed = sequential(cell, "_g", "_cell", "_t", "_down")
+        one = F.shiftright("_r", bit).bitwiseAND(F.lit(1)) == 1
+        by = placed.groupBy("_g", "_cell").agg(F.min("seq").alias("low"), F.count_if(one).alias("k"), F.sum(F.when(one, F.col("seq"))).alias("places"))
+        right.append(by.select("_g", F.expr("coalesce(places, 0) - k * low - k * (k - 1) div 2").alias("x")))
+    total = reduce(DataFrame.unionByName, right).groupBy(F.col("_g").alias("_h")).agg(F.sum("x").alias("right_order"))
+    out = sizes.where("pairs > 0").join(total, F.col("_g").eqNullSafe(F.col("_h")))
+    return out.select(F.col("_g").alias(group), "pairs", "right_order", F.round(F.col("right_order") / F.col("pairs"), 6).alias("accuracy"))
 
 
 @query("""WITH g AS (SELECT DISTINCT p_type AS doc, p_name AS h FROM part WHERE p_size <= 30), f AS (SELECT DISTINCT p_type AS doc, p_name AS h FROM part WHERE p_size >= 10), j AS (SELECT coalesce(g.doc, f.doc) AS doc, count(g.h) AS gold, count(f.h) AS found, count(*) FILTER (g.h IS NOT NULL AND f.h IS NOT NULL) AS hits FROM g FULL JOIN f ON g.doc = f.doc AND g.h = f.h GROUP BY 1) SELECT doc, gold, found, hits, round(2.0::DOUBLE * hits / (gold + found), 6) AS f1 FROM j""")

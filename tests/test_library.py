@@ -191,6 +191,20 @@ def test_chunks_respect_bounds(spark, sf_dir):
     assert rows and all(chunking.MIN_CHARS <= r["n"] <= chunking.MAX_CHARS for r in rows)
 
 
+def test_order_accuracy_without_pairs(spark):
+    import random
+
+    rnd = random.Random(8)
+    rows = [(g, rnd.randrange(40), rnd.randrange(9)) for g in (1, 2, None) for _ in range(60)] + [(5, 1, 1)]
+    got = {r["g"]: (r["pairs"], r["right_order"]) for r in chunking.order_accuracy(spark.createDataFrame(rows, "g long, t long, f long"), "g", "t", ["f", "t"]).collect()}
+    want = {}
+    for g in (1, 2, None):
+        x = [(t, (f, t)) for h, t, f in rows if h == g]
+        pairs = [(a, b) for a in x for b in x if a[0] < b[0]]
+        want[g] = (len(pairs), sum(a[1] < b[1] for a, b in pairs))
+    assert got == want
+
+
 def test_section_chunks_nest_and_cut(spark):
     long = " ".join(["word"] * 400) + " " + "x" * 2500
     rows = [(1, 0, "paragraph", None, "before"), (1, 1, "title", 1, "A"), (1, 2, "heading", 3, "B"), (1, 3, "paragraph", None, long), (1, 4, "heading", 2, " C "), (1, 5, "table", None, "t" * 3000), (1, 6, "picture", None, "p"), (1, 7, "heading", 2, "D"), (1, 8, "list_item", None, "  "), (1, 9, "odd", None, "?")]
