@@ -149,8 +149,10 @@ def _edges(docs: DataFrame, signed: DataFrame) -> DataFrame:
     members = settle(rows.join(shared, "b"), "members")
     one = members.select("c").distinct().join(classes, "c")
     named = settle(one, "named")
-    at = settle(signed.join(named.select("c"), "c", "left_semi").where("doc_id IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("doc_id")), "sources")
-    sets = docs.select("doc_id", "text").join(at, "doc_id").select("c", "text").mapInPandas(_sets, "c binary, s binary")
+    least = signed.where("c IS NOT NULL AND doc_id IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
+    at = settle(least.join(named.select("c"), "c", "left_semi"), "sources")
+    # A merge at every size: else small tables would be broadcast and large ones not.
+    sets = docs.select("doc_id", "text").join(at.hint("merge"), "doc_id").select("c", "text").mapInPandas(_sets, "c binary, s binary")
     sets = settle(sets.dropDuplicates(["c"]), "sets")
     discard(classes, shared, at)
 
