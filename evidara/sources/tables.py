@@ -11,13 +11,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes a core, by Spark's own estimate, under which a table in fewer files than cores is dealt out.
+SPREAD_BYTES = 32 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df, dealt to all cores where it has fewer parts than these: a small file of one row group is read by one task.
+    """df, dealt to all cores if it is small and in fewer files than these: one row group is read by one task.
 
-    Larger inputs have more parts than cores and stay as they lie.
+    Larger tables, and those of many files, stay as they lie.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES and 0 < len(df.inputFiles()) < cores else df
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, strict: bool = True) -> DataFrame:
