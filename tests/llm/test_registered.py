@@ -29,3 +29,18 @@ def test_pipeline_against_brute_force(spark, sf_dir, docs, labels):
     encoding = bpe.tokenizer()
     want = {i: len(encoding.encode_ordinary(cut[i])) for i in clean}
     assert {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, sf_dir).collect()} == want
+
+
+def test_stages_on_edges_and_nothing(spark, sf_dir, edge_docs, no_docs, tmp_path):
+    import corpus_pipeline
+
+    for docs in (edge_docs, no_docs):
+        now = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, now, sf_dir)
+            assert out.columns == docs.columns
+            assert {r["doc_id"] for r in out.collect()} <= {r["doc_id"] for r in now.collect()}, name
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").where("false").write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
