@@ -68,4 +68,31 @@ SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(head || tail, ''
 FROM h GROUP BY conv_id, speaker, part
 """
 
-ORACLES = {"op6_chat_perspectives": OP6, "op2_minhash_near_dedup": OP2, "op8_benchmark_decontamination": OP8, "op9_substring_dedup": OP9}
+#: CRC-32 has no function there: its table of 256 remainders, and a fold over the bytes of Latin-1 letters.
+_CRC_TABLE = """bits AS (SELECT n, 0 AS k, n::UBIGINT AS c FROM range(256) t(n)
+         UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY n) AS tab FROM bits WHERE k = 8)"""
+_CRC = """xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split({0}, ''),
+           lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::UBIGINT] ELSE [(192 + ord(x) // 64)::UBIGINT, (128 + ord(x) % 64)::UBIGINT] END))),
+           lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255)::INT + 1])))"""
+
+OP12 = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]{{6,}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+      FROM documents),
+u AS (SELECT doc_id, w, count(*) AS n FROM r GROUP BY ALL),
+h AS (SELECT w, n, {_CRC.format("coalesce(doc_id::VARCHAR, '') || ':' || w")} AS h FROM u, crc),
+v AS (SELECT CASE WHEN h % 199 = 0 THEN w[:(h % length(w))::INT] || w[(h % length(w))::INT + 2:] ELSE w END AS word, sum(n)::BIGINT AS n FROM h
+      GROUP BY 1 HAVING sum(n) >= 5 AND length(word) >= 6),
+p AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS less FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM p a JOIN p b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+         UNION SELECT a.word, b.word, b.n FROM p a JOIN v b ON a.less = b.word UNION SELECT b.word, a.word, a.n FROM p a JOIN v b ON a.less = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, encode(other))) AS form, max(m) AS form_n FROM near GROUP BY word),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n
+      FROM v LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root, 0 AS k FROM f UNION ALL SELECT chain.word, f.form, k + 1 FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NOT NULL),
+last AS (SELECT word, arg_max(root, k) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN last USING (word)
+"""
+
+ORACLES = {"op6_chat_perspectives": OP6, "op2_minhash_near_dedup": OP2, "op8_benchmark_decontamination": OP8, "op9_substring_dedup": OP9, "op12_spelling_variants": OP12}
