@@ -95,4 +95,39 @@ last AS (SELECT word, arg_max(root, k) AS root FROM chain GROUP BY word)
 SELECT word, form, root, n, n_near, form_n FROM f JOIN last USING (word)
 """
 
-ORACLES = {"op6_chat_perspectives": OP6, "op2_minhash_near_dedup": OP2, "op8_benchmark_decontamination": OP8, "op9_substring_dedup": OP9, "op12_spelling_variants": OP12}
+_TURN = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+_ENDS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+#: Forward over the rows, with the cheapest edits of least letters for each state; before a row come up to three insertions.
+OP13 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format(_TURN)} % 20 AS k FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM c, range(2) r(copy) WHERE k <> 0 AND (copy = 0 OR k = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, right(rtrim(text, {_ENDS}), 1) AS e FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS prior FROM o),
+f AS (SELECT *, CASE WHEN e = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN e NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM p),
+follows(q, x, then_) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+added(q, x, then_) AS (VALUES (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+more(q, n, lines, then_) AS (SELECT q, 0, []::VARCHAR[], q FROM range(4) r(q)
+      UNION ALL SELECT m.q, n + 1, list_append(lines, CASE x WHEN 'u' THEN 'user:' ELSE 'assistant:' END), a.then_ FROM more m JOIN added a ON a.q = m.then_ WHERE n < 3),
+edits AS (SELECT conv_id, i, q.q, 'D' AS letter, 2 AS cost, q.q AS then_, []::VARCHAR[] AS line FROM f, range(4) q(q)
+      UNION ALL SELECT conv_id, i, q, 'K', CASE fault WHEN '' THEN 0 ELSE 5 END, then_, [role || ':' || text] FROM f JOIN follows ON x = role[1] WHERE fault IN ('', 'truncated')
+      UNION ALL SELECT conv_id, i, q, 'R', CASE fault WHEN '' THEN 1 ELSE 6 END, then_, [CASE x WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text] FROM f, added
+                WHERE fault IN ('', 'truncated')),
+best AS (SELECT conv_id, 0::BIGINT AS i, 0::BIGINT AS q, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS lines FROM (SELECT DISTINCT conv_id FROM conversations)
+      UNION ALL SELECT conv_id, i, q, cost, audit, lines FROM (
+        SELECT *, row_number() OVER (PARTITION BY conv_id, q ORDER BY cost, audit) AS place FROM (
+          SELECT b.conv_id, e.i, e.then_ AS q, b.cost + 5 * m.n + e.cost AS cost, b.audit || repeat('I', m.n) || e.letter AS audit, b.lines || m.lines || e.line AS lines
+          FROM best b JOIN more m ON m.q = b.q JOIN edits e ON e.conv_id IS NOT DISTINCT FROM b.conv_id AND e.i = b.i + 1 AND e.q = m.then_)) WHERE place = 1),
+ends AS (SELECT b.conv_id, b.cost + 5 * n AS cost, audit || repeat('I', n) AS audit, b.lines || m.lines AS lines FROM best b JOIN more m ON m.q = b.q
+      WHERE then_ IN (0, 3) AND b.i = (SELECT count(*) FROM f WHERE f.conv_id IS NOT DISTINCT FROM b.conv_id)),
+least AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) AS place FROM ends),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+      count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (prior || role[1] NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT l.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       cost, audit, sha256(array_to_string(lines, chr(10))) AS repaired_sha256
+FROM least l LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM l.conv_id WHERE place = 1
+"""
+
+ORACLES = {"op6_chat_perspectives": OP6, "op2_minhash_near_dedup": OP2, "op8_benchmark_decontamination": OP8, "op9_substring_dedup": OP9, "op12_spelling_variants": OP12, "op13_conversation_repair": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontamination, html_extraction, near_duplicates, quality_classifier, quality_rules, resharding, spelling, substring_dedup, token_counts
+from . import bpe, chat_format, conversation_repair, decontamination, html_extraction, near_duplicates, quality_classifier, quality_rules, resharding, spelling, substring_dedup, token_counts
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
