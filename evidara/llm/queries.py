@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, conversation_repair, decontamination, html_extraction, near_duplicates, quality_classifier, quality_rules, resharding, spelling, substring_dedup, token_counts
+from . import bpe, chat_format, conversation_repair, decontamination, html_extraction, near_duplicates, quality_classifier, quality_rules, resharding, spelling, substring_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -57,6 +57,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(docs, token_counts.redactions(docs), token_counts.with_addresses(docs))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf_dir, "documents"))
 
