@@ -169,13 +169,13 @@ def cited(text: Column, allowed: Column) -> dict[str, Column]:
     return {"citation_ids": F.flatten(F.transform(valid, ids)), "visible": visible, "status": status}
 
 
-@query(r"""WITH a AS (SELECT doc_id, substring(text, 1, 60) || CASE doc_id % 4 WHEN 0 THEN ' [[cite:ev_1]] and [[cite: ev_2 , ev_1 ]].' WHEN 1 THEN ' [[cite:ev_9]] end' WHEN 2 THEN ' [[cite:ev' ELSE '' END AS t FROM documents)
+@query(r"""WITH a AS (SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' [[cite:ev_1]] and [[cite: ev_2 , ev_1 ]].' WHEN 1 THEN ' [[cite:ev_9]] end' WHEN 2 THEN ' [[cite:ev' ELSE '' END AS t FROM documents)
 SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'ev_1,ev_2,ev_1' ELSE '' END AS citation_ids, CASE doc_id % 4 WHEN 0 THEN replace(replace(t, '[[cite:ev_1]]', '[1]'), '[[cite: ev_2 , ev_1 ]]', '[2,1]') WHEN 1 THEN replace(t, '[[cite:ev_9]]', '') WHEN 2 THEN replace(t, '[[cite:ev', '') ELSE t END AS visible,
 CASE doc_id % 4 WHEN 0 THEN 'complete' WHEN 1 THEN 'invalid' WHEN 2 THEN 'incomplete' ELSE 'missing' END AS status FROM a""")
 def citation_markers(spark, d):
     k = F.col("doc_id") % 4
     end = F.when(k == 0, " [[cite:ev_1]] and [[cite: ev_2 , ev_1 ]].").when(k == 1, " [[cite:ev_9]] end").when(k == 2, " [[cite:ev").otherwise("")
-    answers = X.fixed(table(spark, d, "documents"), "doc_id", t=F.concat(F.substring("text", 1, 60), end))
+    answers = X.fixed(table(spark, d, "documents"), "doc_id", t=F.concat("text", end))
     found = cited(F.col("t"), F.array(F.lit("ev_1"), F.lit("ev_2")))
     return answers.select("doc_id", F.array_join(found["citation_ids"], ",").alias("citation_ids"), found["visible"].alias("visible"), found["status"].alias("status"))
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from ..operators import chunking, dedup, evidence, governance, relational, retrieval, texts
-from ..streaming import turns
+from ..streaming import citations, turns
 from .registry import ORACLES, QUERIES, Query
 
-MODULES = (relational, texts, dedup, retrieval, chunking, governance, evidence, turns)
+MODULES = (relational, texts, dedup, retrieval, chunking, governance, evidence, turns, citations)
 
 
 def queries() -> dict[str, Query]:
