@@ -9,9 +9,10 @@ with the greatest sum, the content region; its words that score above zero are t
 The shares are learnt from labelled pages, those of a bounded sample that mark their content with one article or main
 element; each word outside or inside counts for the outermost element around it that has a name or a kind. They begin
 with the pseudo-counts of ``PRIOR``, so that what no labelled page shows is judged too. A name of several parts counts
-only if every part is known: "comment-list" does, "notice-period" does not. A named element is not believed to be
-chrome if it holds more words than all that reads as content, times the odds of its name: a "page-header-wrap" around
-the whole page is passed through.
+only if every part is known: "comment-list" does, "notice-period" does not. An element is not believed to be chrome if it
+holds the page's main heading with more prose than all that reads as content elsewhere, as a form around an article
+does, nor, if it is named, if it holds more words than that, times the odds of its name: a "page-header-wrap" around the
+whole page is passed through. Readers' comments and hidden elements are believed.
 
 Null and empty html gives an empty text, as does a page without words of content. A page of unclosed, broken or very
 long markup is scanned like any other, in linear time. Repeated rows are all returned; other columns are not looked at.
@@ -58,8 +59,9 @@ PRIOR_NAMES = (
 #: Parts of names that say nothing by themselves.
 PLAIN = frozenset("area bar block bottom box button buttons container inner item items left links list main outer page panel posts region right row section site slot small top unit wrap wrapper x".split())
 UNKNOWN = (4, 1)
-#: What a tag costs that is never seen in content; the words that a page is taken to hold of content at least.
-TAG_SCORE, LEAST_READ = 0.2, 3
+#: What a tag costs that is never seen in content; the words that a page is taken to hold of content at least, and those of
+#: prose that speak for an element with the main heading; from which odds on a name is believed in any case.
+TAG_SCORE, LEAST_READ, LEAST_PROSE, CERTAIN = 0.2, 3, 20, 100
 
 
 @dataclass
@@ -93,19 +95,34 @@ class Weights:
 
 @dataclass
 class Token:
-    """A tag by name, or a text (name empty) with its number of words and the elements around it, outermost first."""
+    """A tag by name, or a text (name empty) with its number of words, and the innermost element around it, -1 if none."""
 
     name: str
     text: str = ""
     words: int = 0
-    around: tuple[int, ...] = ()
+    inside: int = -1
     labelled: bool = False
+    prose: bool = False
 
     @property
     def kind(self) -> str:
         return _kind(self.name, self.labelled)
 
 
+@dataclass
+class Element:
+    """Features, the next element outwards that counts (-1 if none), the outermost, and the element it stands in for."""
+
+    features: list[str]
+    up: int = -1
+    top: int = 0
+    of: int = -1
+
+    @property
+    def comment(self) -> bool:
+        return not COMMENTS.isdisjoint(self.features)
+
+
 def _kind(name: str, inside: bool) -> str:
     return f"{name} within" if name == "header" and inside else name
 
@@ -123,26 +140,46 @@ def _features(name: str, attributes: str, inside: bool) -> list[str]:
     return [*found, kind] if found and kind in PRIOR_TAGS and PRIOR_TAGS[kind][1] > 2 else found or [kind]
 
 
-def parse(page: str) -> tuple[list[Token], list[list[str]]]:
-    """The page's tokens, and the features of each element that Token.around names."""
-    tokens, elements = [], []
-    stack: list[tuple[str, tuple[int, ...]]] = []  # open elements, and what was around each
+def parse(page: str) -> tuple[list[Token], list[Element]]:
+    """The page's tokens, and the elements around them; an element comes after those that enclose it."""
+    tokens: list[Token] = []
+    elements: list[Element] = []
+    stack: list[tuple[str, int]] = []  # open elements, and what was around each
+    enders: list[int] = []  # places in the stack of those that may end where others begin, and of their holders
     opened: Counter = Counter()
-    around: tuple[int, ...] = ()
+    inside = -1
     content, at, text = 0, 0, 0
 
     def say(upto: int) -> None:
         if upto > text:
             part = page[text:upto]
-            tokens.append(Token("", part, len(part.split()), around, content > 0))
+            tokens.append(Token("", part, len(part.split()), inside, content > 0, bool(opened["p"] and not opened["a"])))
 
     def close(depth: int) -> None:
-        nonlocal around, content
-        around = stack[depth][1]
+        nonlocal inside, content
+        inside = stack[depth][1]
         for name, _ in stack[depth:]:
             content -= name in CONTENT
             opened[name] -= 1
         del stack[depth:]
+        while enders and enders[-1] >= depth:
+            enders.pop()
+
+    def enter(features: list[str], up: int, of: int = -1) -> int:
+        elements.append(Element(features, up, elements[up].top if up >= 0 else len(elements), of))
+        return len(elements) - 1
+
+    def comments_around(k: int) -> int:
+        """Stand-ins for the comment elements at and around k, one inside the other, without what is between them."""
+        found = []
+        while k >= 0:
+            if elements[k].comment:
+                found.append(k)
+            k = elements[k].up
+        up = -1
+        for k in reversed(found):
+            up = enter(elements[k].features, up, k)
+        return up
 
     while (at := page.find("<", at)) >= 0:
         m = TAG.match(page, at)
@@ -170,27 +207,31 @@ def parse(page: str) -> tuple[list[Token], list[list[str]]]:
         if closing:
             if opened[name]:
                 close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
-            tokens.append(Token(name, around=around, labelled=content > 0))
+            tokens.append(Token(name, inside=inside, labelled=content > 0))
             continue
         if name in ENDING:
-            for i in range(len(stack) - 1, max(-1, len(stack) - 100), -1):
+            # The outermost that ends here; of one kind no second is open before a holder, so these are few.
+            ended = None
+            for i in reversed(enders):
                 if name in ENDS.get(stack[i][0], ()):
-                    close(i)
-                    break
+                    ended = i
                 if stack[i][0] in HOLDERS:
                     break
-        tokens.append(Token(name, around=around, labelled=content > 0))
+            if ended is not None:
+                close(ended)
+        tokens.append(Token(name, inside=inside, labelled=content > 0))
         if name not in VOID and not m[3].endswith("/"):
-            stack.append((name, around))
+            if name in HOLDERS or name in ENDS:
+                enders.append(len(stack))
+            stack.append((name, inside))
             opened[name] += 1
             features = [f for f in _features(name, m[3], content > 0) if f not in NEUTRAL]
             if name in CONTENT:
                 content += 1
                 # What encloses its words begins anew, but for readers' comments.
-                around = tuple(k for k in around if not COMMENTS.isdisjoint(elements[k]))
+                inside = comments_around(inside)
             if features:
-                around = (*around[-100:], len(elements))
-                elements.append(features)
+                inside = enter(features, inside)
     say(len(page))
     return tokens, elements
 
@@ -204,9 +245,9 @@ def learn(pages: list[str]) -> Weights:
         tokens, elements = parse(page)
         for t in tokens:
             if t.name:
-                tags[t.labelled][t.kind] += t.labelled or not t.around  # what a menu holds is the menu's
-            elif t.words and t.around:
-                words[t.labelled].update(dict.fromkeys(elements[t.around[0]], t.words))
+                tags[t.labelled][t.kind] += t.labelled or t.inside < 0  # what a menu holds is the menu's
+            elif t.words and t.inside >= 0:
+                words[t.labelled].update(dict.fromkeys(elements[elements[t.inside].top].features, t.words))
     both = lambda c: {k: (c[True][k], c[False][k]) for k in c[True] | c[False]}
     return Weights(both(words), both(tags))
 
@@ -223,29 +264,59 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return span
 
 
-def scores_of(tokens: list[Token], elements: list[list[str]], weights: Weights) -> list[float]:
-    """The score of each token: of a tag below zero, of a text its words' sum."""
-    share = [max((weights.outside(f) for f in e), default=0.0) for e in elements]
-    kind = {}
-    held, read = Counter(), 0
+def believed(tokens: list[Token], elements: list[Element], weights: Weights) -> list[float]:
+    """The share outside content of each element, 0 for those that hold too much of the page to be chrome."""
+    share = [max((weights.outside(f) for f in e.features), default=0.0) for e in elements]
+    chrome = [s > 0.5 for s in share]
+    under = []  # whether an element or one around it is chrome
+    for k, e in enumerate(elements):
+        under.append(chrome[k] or e.up >= 0 and under[e.up])
+    held, prose, titled, read = [0] * len(elements), [0] * len(elements), [False] * len(elements), 0
     for t in tokens:
         if t.words:
-            chrome = [k for k in t.around if share[k] > 0.5]
-            held.update(dict.fromkeys(chrome, t.words))
-            read += 0 if chrome else t.words
-    for k, n in held.items():
-        if any(f[0] == "." for f in elements[k]):
-            odds = max(b / a for a, b in map(weights.counts, elements[k]))
-            if n > odds * max(read, LEAST_READ):
+            read += t.words if t.inside < 0 or not under[t.inside] else 0
+            if t.inside >= 0:
+                held[t.inside] += t.words
+                prose[t.inside] += t.words * t.prose
+        elif t.name == "h1" and t.inside >= 0:
+            titled[t.inside] = True
+    least = max(read, LEAST_READ)
+    for k in reversed(range(len(elements))):
+        e = elements[k]
+        passes = not chrome[k]
+        if chrome[k]:
+            counts = [weights.counts(f) for f in e.features]
+            odds = max(b / a for a, b in counts)
+            named = any(f[0] == "." for f in e.features)
+            passes = named and held[k] > odds * least or odds < CERTAIN and titled[k] and prose[k] > max(read, LEAST_PROSE)
+            if passes:
                 share[k] = 0.0
-    out = []
+        # All words count for what is around, prose only through what is content itself.
+        out = e.of if e.of >= 0 else e.up
+        if out >= 0:
+            held[out] += held[k] if e.of < 0 else 0
+            if passes and e.of < 0:
+                prose[out] += prose[k]
+                titled[out] |= titled[k]
+    for k, e in enumerate(elements):
+        if e.of >= 0:
+            share[k] = share[e.of]
+    return share
+
+
+def scores_of(tokens: list[Token], elements: list[Element], weights: Weights) -> list[float]:
+    """The score of each token: of a tag below zero, of a text its words' sum."""
+    worst = believed(tokens, elements, weights)
+    for k, e in enumerate(elements):
+        worst[k] = max(worst[k], worst[e.up] if e.up >= 0 else 0.0)
+    kind, out = {}, []
     for t in tokens:
         if t.name:
             if t.kind not in kind:
                 kind[t.kind] = weights.tag(t.kind)
             out.append(kind[t.kind])
         else:
-            one = 1 - 2 * max((share[k] for k in t.around), default=0.0)
+            one = 1 - 2 * (worst[t.inside] if t.inside >= 0 else 0.0)
             out.append(one * (t.words if one > 0 else math.log2(1 + t.words)))
     return out
 
