@@ -2,7 +2,8 @@
 
 For every participant of a conversation the whole dialogue is rendered with that participant as the assistant and the
 others as users by name; masks name the characters that a loss counts, the participant's words and closing marks. A row
-holds at most ``TURNS`` turns; a longer dialogue goes on in further parts, so no task gathers a whole large one.
+holds at most ``TURNS`` turns of the dialogue; a longer one goes on in further parts, so no task gathers a whole large
+one. Each further part begins with the system turns of the first, so that what they ask for is in front of every part.
 
 Turns are in the order of turn, rows with one number by a hash of who says what; null numbers come first. A turn's place
 is the sum of three counts, of blocks of numbers, of numbers and hashes in its block, and of rows alike in these, so a
@@ -61,6 +62,7 @@ def distinct_turns(turns: DataFrame) -> DataFrame:
 def rotate(turns: DataFrame, most: int = TURNS) -> DataFrame:
     """conv_id, speaker, part, n_turns, text, masks and n_trained: each participant's view of each part of the dialogue.
 
+    most: turns of a part, without the system turns that a further part repeats, of which there are as many at most.
     masks: start-end of the trained spans, in characters of text, joined by commas. n_trained: their characters. Turns
     meet by conversation and part once, and are rendered for every speaker behind the last shuffle.
     """
@@ -71,7 +73,13 @@ def rotate(turns: DataFrame, most: int = TURNS) -> DataFrame:
     rows = rows.withColumn("part", F.explode(F.sequence(first, last)))
     times = F.least(F.col("before") + F.col("n"), (F.col("part") + 1) * most) - F.greatest("before", F.col("part") * most)
     one = F.struct(F.greatest("before", F.col("part") * most).alias("at"), times.cast("int").alias("times"), "author", "body")
-    parts = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(one)).alias("said"))
+    parts = settle(rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(one)).alias("said")), "parts")
+    if parts.where("part > 0").take(1):
+        asked = F.filter("said", lambda x: x["author"] == SYSTEM)
+        opening = parts.where("part = 0").select(F.col("conv_id").alias("_o"), asked.alias("asked")).where(F.size("asked") > 0)
+        later = parts.where("part > 0").join(opening, F.col("conv_id").eqNullSafe(F.col("_o")), "left")
+        later = later.select("conv_id", "part", F.concat(F.coalesce("asked", F.slice("said", 1, 0)), F.col("said")).alias("said"))
+        parts = parts.where("part = 0").unionByName(later)
     seen = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv")))
 
     def turn(x: Column) -> Column:

@@ -61,7 +61,10 @@ r AS (SELECT o.conv_id, speaker, pos, pos // 256 AS part, author = speaker AS ow
                                     ELSE 'user name=' || translate({_SAID.format("author")}, chr(13) || chr(10), '  ') END || chr(10) AS head,
              {_SAID.format("body")} || '<|im_end|>' || chr(10) AS tail
       FROM o JOIN p ON o.conv_id IS NOT DISTINCT FROM p.conv_id),
-h AS (SELECT *, sum(length(head) + length(tail)) OVER (PARTITION BY conv_id, speaker, part ORDER BY pos) AS stop FROM r)
+rr AS (SELECT * FROM r UNION ALL SELECT r.conv_id, r.speaker, r.pos, p.part, false, r.head, r.tail FROM r
+       JOIN (SELECT DISTINCT conv_id, speaker, part FROM r WHERE part > 0) p ON p.conv_id IS NOT DISTINCT FROM r.conv_id AND p.speaker = r.speaker
+       WHERE r.part = 0 AND starts_with(r.head, '<|im_start|>system')),
+h AS (SELECT *, sum(length(head) + length(tail)) OVER (PARTITION BY conv_id, speaker, part ORDER BY pos) AS stop FROM rr)
 SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(head || tail, '' ORDER BY pos) AS text,
        coalesce(string_agg(CAST(stop - length(tail) AS VARCHAR) || '-' || CAST(stop AS VARCHAR), ',' ORDER BY pos) FILTER (own), '') AS masks,
        coalesce(sum(length(tail)) FILTER (own), 0) AS n_trained
