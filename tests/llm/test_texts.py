@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from evidara.llm import bpe, chat_format, html_extraction, resharding, token_counts
 
 
-@pytest.mark.parametrize("options", [{}, {"chunk": 300, "overlap": 40}])
+@pytest.mark.parametrize("options", [{}, {"chunk": 300, "overlap": 40}, {"chunk": 20, "overlap": 5, "spread": 400}])
 def test_bpe_as_the_library(edge_docs, docs, options):
     encoding = bpe.tokenizer()
     for df in (docs, edge_docs):
@@ -28,7 +28,11 @@ def test_bpe_stitches_anywhere(spark, no_docs):
     texts = ["a" * 5000, " " * 4000, "'s" * 2000, "ab  " * 900 + "x", "\n\n \t" * 900, "é" * 3500, "1234 " * 900, "  'll" * 800, "a" * 700 + " b" * 900]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     encoding = bpe.tokenizer()
-    assert {r["doc_id"]: list(r["ids"]) for r in bpe.encode(df, chunk=500, overlap=50).collect()} == {i: encoding.encode_ordinary(t) for i, t in enumerate(texts)}
+    want = {i: encoding.encode_ordinary(t) for i, t in enumerate(texts)}
+    for options in ({"chunk": 500, "overlap": 50}, {"chunk": 7, "overlap": 3}, {"chunk": 32, "overlap": 4, "spread": 550}):
+        assert {r["doc_id"]: list(r["ids"]) for r in bpe.encode(df, **options).collect()} == want
+    # Ordinary texts are cut and stitched as well.
+    assert all("".join(bpe.pieces(t, 500, 50)) == t for t in texts) and len(list(bpe.pieces(texts[6], 500, 50))) == 9
     assert {bytes(r["decoded"]).decode() for r in bpe.decode(bpe.encode(df)).collect()} == set(texts)
     assert bpe.digests(no_docs).count() == 0
 
