@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,13 +35,15 @@ from .quality_classifier import FOLDS, held_out
 CUT = 0.5
 #: Bounds of what is learned from: labelled documents, and entries of the lexicon with the documents an entry needs.
 MAX_DOCS, MAX_TERMS, LEAST_DOCS = 12_000, 20_000, 3
-PIECE = 1 << 20
+#: Characters of a piece of text; a run without blanks that is longer than LONGEST is no word.
+PIECE, LONGEST = 1 << 20, 64
 LEVELS = np.array([0.7, 1.4, 2.1, 2.8, 3.5, 4.2, 5.0])
 STRONG, SECOND, ODD, SHOUT = 4, 8, 16, 32
 #: Words that speak to someone, in the languages of the corpus.
 TO_SOMEONE = frozenset("you your yours yourself u ur du dich dir dein deine deiner ihr euch euer eure tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros su tuyo".split())
 #: What stands for a letter in disguise.
 DISGUISE = str.maketrans("01345789@$!€|", "oieastbgasiel")
+MARKS = string.punctuation
 _BLANK = re.compile(r"\s")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .*_-]){2,}[^\W_](?!\S)")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -50,9 +53,10 @@ _REPEATED = re.compile(r"(.)\1{2,}")
 
 def plain(word: str) -> tuple[str, bool]:
     """A word in lower case without marks at its ends, disguise undone, and whether there was any."""
-    low = _EDGES.sub("", word.lower())
+    low = word.lower().strip(MARKS)
     if low.isalpha() and not _REPEATED.search(low):
         return low, False
+    low = _EDGES.sub("", low)
     if not any(c.isalpha() for c in low):
         # Digits and marks alone are not a disguise.
         return low, False
@@ -62,12 +66,15 @@ def plain(word: str) -> tuple[str, bool]:
     return open_, open_.isalpha() and (seen != low or bool(_REPEATED.search(seen)) or len(_INNER.findall(seen)) > 1)
 
 
-def keys(word: str) -> list[str]:
-    """What the lexicon may know a word by: itself, and its beginnings with a star."""
-    low = plain(word)[0] if len(word) <= 64 else ""
+def beginnings(low: str) -> list[str]:
+    """What the lexicon may know a plain word by: itself, and its beginnings with a star."""
     return [low, *(f"{low[:k]}*" for k in (4, 5, 6) if len(low) > k)] if len(low) > 1 else []
 
 
+def keys(word: str) -> list[str]:
+    return beginnings(plain(word)[0]) if len(word) <= LONGEST else []
+
+
 def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     """The text in runs of about so many characters, cut before blanks."""
     at = 0
@@ -88,6 +95,11 @@ class Lexicon:
     clean: int
     held: dict[str, tuple[int, int]]
 
+    def levels(self) -> dict[str, int]:
+        """The level of each key, of texts that the lexicon was not learnt from."""
+        odds = lambda a, b: math.log((a + 0.1) / (self.toxic + 1)) - math.log((b + 0.5) / (self.clean + 1))
+        return {key: int(np.searchsorted(LEVELS, odds(a, b), "right")) for key, (a, b) in self.held.items() if a > 0}
+
     def weight(self, word: str, label: int | None = None) -> float:
         """The largest log-odds of a word's keys, 0 at least; label: of the document it stands in, which then does not
         count."""
@@ -107,12 +119,18 @@ class Codes(dict):
     def __init__(self, lexicon: Lexicon, label: int | None = None) -> None:
         super().__init__()
         self.lexicon, self.label = lexicon, label
+        self.levels = lexicon.levels() if label is None else {}
+
+    def level(self, low: str, word: str) -> int:
+        if self.label is not None:
+            return int(np.searchsorted(LEVELS, self.lexicon.weight(word, self.label), "right"))
+        of = self.levels.get
+        return max(of(low, 0), of(low[:4] + "*", 0), of(low[:5] + "*", 0), of(low[:6] + "*", 0)) if len(low) > 6 else max((of(k, 0) for k in beginnings(low)), default=0)
 
     def __missing__(self, word: str) -> int:
-        low, odd = plain(word) if len(word) <= 64 else ("", False)
-        level = int(np.searchsorted(LEVELS, self.lexicon.weight(word, self.label), "right"))
-        code = level | SECOND * (low in TO_SOMEONE) | ODD * odd | SHOUT * (len(low) > 2 and word.isupper())
-        if len(self) > 200_000:
+        low, odd = plain(word) if len(word) <= LONGEST else ("", False)
+        code = self.level(low, word) | SECOND * (low in TO_SOMEONE) | ODD * odd | SHOUT * (len(low) > 2 and word.isupper())
+        if len(self) > 400_000:
             self.clear()
         self[word] = code
         return code
@@ -130,8 +148,9 @@ def features(text: str | None, codes: Codes) -> list[float]:
         found.append(np.fromiter(map(codes.__getitem__, words), np.uint8, len(words)))
         data = np.frombuffer(piece.encode("utf-8", "surrogatepass"), np.uint8)
         size += len(data)
+        held = np.bincount(data, minlength=256)
         for name, is_it in _ASCII.items():
-            counts[name] += int(np.count_nonzero(is_it[data]))
+            counts[name] += int(held[is_it].sum())
         runs += piece.count("!!") + piece.count("??")
         for m in _SPACED.finditer(piece):
             spaced += 1
