@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from ..operators import chunking, context, dedup, evidence, governance, relational, retrieval, texts
+from ..operators import chunking, context, dedup, evidence, governance, openapi, relational, retrieval, texts
 from ..streaming import citations, turns
 from .registry import ORACLES, QUERIES, Query
 
-MODULES = (relational, texts, dedup, retrieval, chunking, governance, evidence, context, turns, citations)
+MODULES = (relational, texts, dedup, retrieval, chunking, governance, evidence, context, openapi, turns, citations)
 
 
 def queries() -> dict[str, Query]:
