@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from ..operators import chunking, cleaning, context, dedup, evidence, governance, openapi, relational, retrieval, texts
-from ..streaming import citations, turns
+from ..streaming import citations, states, turns
 from .registry import ORACLES, QUERIES, Query
 
-MODULES = (relational, texts, dedup, retrieval, chunking, governance, evidence, cleaning, context, openapi, turns, citations)
+MODULES = (relational, texts, dedup, retrieval, chunking, governance, evidence, cleaning, context, openapi, turns, citations, states)
 
 
 def queries() -> dict[str, Query]:
