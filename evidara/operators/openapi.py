@@ -91,7 +91,7 @@ def flatten_properties(lines: DataFrame) -> DataFrame:
     return found.select("doc", "schema", "property", F.coalesce("required", F.lit(False)).alias("required"), "n", F.array_join(F.transform("_lines", lambda x: x["raw"]), "\n").alias("definition"))
 
 
-def _packed(items: DataFrame, keys: list[str], most: int) -> DataFrame:
+def pack(items: DataFrame, keys: list[str], most: int) -> DataFrame:
     """Items packed in order into groups whose head and texts stay under so many tokens. items: keys, head, n, text.
 
     An item that is too large alone is an error. Only one operation's items of a kind, or one schema's, meet in a row.
@@ -160,7 +160,7 @@ def chunk_openapi(documents: DataFrame, most: int = MOST_TOKENS) -> DataFrame:
     plain = large.where(section == "requestBody").join(body_items.select("doc", "unit_n").distinct(), ["doc", "unit_n"], "left_anti")
     plain = plain.groupBy("doc", "unit_n", "name", "header").agg(F.min("n").alias("n"), text.alias("text")).select("doc", "unit_n", "name", F.lit("parameters:body").alias("part"), F.col("header").alias("head"), "n", "text")
     every = items.unionByName(overview).unionByName(body_items).unionByName(plain)
-    packed = _packed(every, ["doc", "unit_n", "name", "part"], most)
+    packed = pack(every, ["doc", "unit_n", "name", "part"], most)
     parts = packed.select("doc", F.lit("operation").alias("unit"), F.col("name").alias("section"), "part", F.col("unit_n").alias("n"), "k", _whole(most, F.concat_ws(" ", "name", "part"), F.col("content")).alias("content"))
     out = small.unionByName(parts).unionByName(_components(lines, most))
     return out.withColumn("tokens", tokens(F.col("content")))
@@ -190,7 +190,7 @@ def _components(lines: DataFrame, most: int) -> DataFrame:
     of = body.join(large.select("doc", "unit_n"), ["doc", "unit_n"], "left_semi")
     props = flatten_properties(of.select("doc", F.col("unit_n").alias("schema"), "n", "raw", "value", F.slice("path", F.lit(4), F.size("path")).alias("below")))
     items = props.join(large.withColumnRenamed("unit_n", "schema"), ["doc", "schema"]).select("doc", F.col("schema").alias("unit_n"), "name", F.lit("properties").alias("part"), "head", "n", _property().alias("text"))
-    packed = _packed(items, ["doc", "unit_n", "name", "part"], most)
+    packed = pack(items, ["doc", "unit_n", "name", "part"], most)
     return keep.unionByName(packed.select("doc", F.lit("schema").alias("unit"), section(F.concat(F.lit("schemas "), "name")).alias("section"), "part", F.col("unit_n").alias("n"), "k", _whole(most, F.col("name"), F.col("content")).alias("content")))
 
 
