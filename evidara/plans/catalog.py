@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from ..operators import chunking, cleaning, context, dedup, evidence, governance, grids, openapi, relational, retrieval, texts
+from ..operators import chunking, cleaning, context, dedup, evidence, governance, grids, openapi, relational, retrieval, rules, texts
 from ..streaming import citations, states, turns
 from .registry import ORACLES, QUERIES, Query
 
-MODULES = (relational, texts, dedup, retrieval, chunking, governance, evidence, cleaning, context, openapi, grids, turns, citations, states)
+MODULES = (relational, texts, dedup, retrieval, chunking, governance, evidence, cleaning, context, openapi, grids, rules, turns, citations, states)
 
 
 def queries() -> dict[str, Query]:
