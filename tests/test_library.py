@@ -79,7 +79,9 @@ def test_lineage_kinds(spark):
     assert dict(dedup.lineage(old, new).collect()) == {"o1": "equivalent", "o2": "merged", "o3": "merged", "o4": "split", "o5": "retired"}
 
 
-def test_similar_pairs_match_brute_force(spark, sf_dir):
+@pytest.mark.parametrize("hot", [64, 2, 0])
+def test_similar_pairs_match_brute_force(spark, sf_dir, hot, monkeypatch):
+    monkeypatch.setattr(dedup, "HOT", hot)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("source", F.lit("one"))
     found = {(r["left_id"], r["right_id"]) for r in dedup.similar_pairs(docs).collect()}
     import re
