@@ -58,6 +58,7 @@ def read_sections(documents: DataFrame, text: str = "text") -> DataFrame:
 
     Empty sections and what stands before the first heading are dropped.
     """
+    # Fixed value: what a numbered heading is.
     heading = r"(?m)^(\d+(?:\.\d+)*\.?)\s+([A-Z][^\n]{2,120})$"
     parts = F.split(F.col(text), rf"(?m)(?=^\d+(?:\.\d+)*\.?\s+[A-Z][^\n]{{2,120}}$)")
     named = F.transform(F.filter(parts, lambda p: p.rlike(heading)), lambda p: F.struct(F.regexp_extract(p, heading, 1).alias("section_id"), F.btrim(F.regexp_extract(p, heading, 2)).alias("heading"), F.btrim(F.regexp_replace(p, r"\A[^\n]*\n?", ""), F.lit(" \n\r\t")).alias("content")))
