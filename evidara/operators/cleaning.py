@@ -79,7 +79,7 @@ def rebase(pieces: list[tuple[int, int, int, bool]], edits: list[tuple[int, int,
     A piece is its length, its source span, and whether it is verbatim. The first part of a replaced piece that is cut keeps
     its source span, the second has an empty one at its end.
     """
-    out, spans, at, k = [], [], 0, 0
+    out, spans, at = [], [], 0
     todo = list(reversed(pieces))
 
     def cut(n: int) -> tuple[int, int, int, bool]:
@@ -104,7 +104,6 @@ def rebase(pieces: list[tuple[int, int, int, bool]], edits: list[tuple[int, int,
         span = (covered[0][1], covered[-1][2]) if covered else (place, place)
         out.append((len(after), *span, False))
         spans.append(span)
-        k += 1
     out.extend(reversed(todo))
     return [p for p in out if p[0] or p[2] > p[1]], spans
 
