@@ -257,3 +257,19 @@ def test_nearest_ranks(spark):
     df = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs] + [("a", None), ("d", None)], "g string, v double")
     got = {r["g"]: (r["p50"], r["p95"], r["n"]) for r in relational.nearest_ranks(df, "g", "v", {"p50": 0.5, "p95": 0.95}).collect()}
     assert got == {g: (sorted(v)[math.ceil(len(v) * 0.5) - 1], sorted(v)[math.ceil(len(v) * 0.95) - 1], len(v)) for g, v in values.items()}
+
+
+def test_observations_in_other_scripts_match_the_sql(spark, sf_dir, tmp_path):
+    """Word ends, digits and white space beside letters, digits and spaces that are not ASCII."""
+    from compare import connection, spark_rows, sql_rows
+
+    from evidara.plans import catalog
+
+    texts = ["\u00e9AS123 as\n77 AS\t8 aS 9 A\u017f44", "\u0661\u0662.1.2.3/8 1.2.3.4/24\u00fc", "\u00a0\u00a0see\u00a0\u2003AS5\u00a0 \x0b\x1c \u2028 end\x85", "\u4e2d\u65872024-01-02\u4e2d 3\u00a0March 2021 3\x0bMarch 2022 4\fMay\n2023", "10:30\u00a0UTC 11:30\nUTC\u00df BGP4MP|01/02/24\x0b10:00:01\u00e4", None, ""]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, "en", f"src{i % 2}", len(t or "")) for i, t in enumerate(texts)], kinds).coalesce(1).write.parquet(f"{tmp_path}/odd")
+    (tmp_path / "documents.parquet").write_bytes(next((tmp_path / "odd").glob("*.parquet")).read_bytes())
+    con = connection(sf_dir)
+    con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    for name in ("observations", "observations_by_source"):
+        assert spark_rows(catalog.queries()[name](spark, str(tmp_path))) == sql_rows(con, catalog.oracle_sql()[name]), name
