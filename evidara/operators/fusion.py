@@ -109,14 +109,39 @@ def rerank(pool: DataFrame, scores: DataFrame, top_n: int = 8, candidates: int =
     return best.select("query", "doc", "rrf", "model_score", "rank"), twice.unionByName(many)
 
 
+def nearest(asked: DataFrame, docs: DataFrame, key: list[Column], value: Column, k: int = TOP_K) -> DataFrame:
+    """query, doc, rank: the k documents of a question's key whose value is nearest to its own, ties by doc, itself left out.
+
+    asked: doc_id and the columns that key (none null in a match) and value (an integer) need, as docs. Of one key and value
+    the first k + 1 ids can be among the nearest, so no more of them meet a question; and of a key's values only those are
+    taken before which fewer than k + 1 ids lie. Both are settled for each key and value that is asked for, which are as many
+    as there are values, before any question is joined.
+    """
+    names = [f"_k{i}" for i in range(len(key))]
+    placed = lambda df, of: df.where("doc_id IS NOT NULL").select(*[c.alias(n) for n, c in zip(names, key, strict=True)], value.cast("long").alias(of), "doc_id")
+    first = Window.partitionBy(*names, "_m").orderBy("doc_id")
+    near = settle(placed(docs, "_m").withColumn("_i", F.dense_rank().over(first)).where(F.col("_i") <= k + 1), "firsts")
+    own = placed(asked, "_v")
+    counts = near.groupBy(*names, "_m").agg(F.max("_i").alias("_n"))
+    far = F.abs(F.col("_m") - F.col("_v"))
+    closer = Window.partitionBy(*names, "_v").orderBy(far).rangeBetween(Window.unboundedPreceding, -1)
+    values = own.select(*names, "_v").distinct().join(counts, names).withColumn("_before", F.coalesce(F.sum("_n").over(closer), F.lit(0))).where(F.col("_before") <= k).select(*names, "_v", "_m")
+    best = Window.partitionBy(*names, "_v").orderBy(far, "doc_id")
+    some = settle(values.join(near.drop("_i"), [*names, "_m"]).withColumn("_r", F.dense_rank().over(best)).where(F.col("_r") <= k + 1).drop("_r"), "nearest")
+    found = own.withColumnRenamed("doc_id", "query").join(some, [*names, "_v"]).where("query <> doc_id")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(far, "doc_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", F.col("doc_id").alias("doc"), "rank")
+
+
 def _given(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Questions (ids divisible by 50), documents, and two channels that stand for searches: near lengths in one source, and
     near last digits of lengths in one language."""
     docs = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars", F.md5("text").alias("text_hash"))
-    asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query"), F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("n_chars").alias("_n"))
-    best = lambda name, on, by: asked.join(docs, on).where("query <> doc_id").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(by, "doc_id"))).where(f"rank <= {TOP_K}").select("query", F.lit(name).alias("channel"), F.col("doc_id").alias("doc"), "rank")
-    lexical = best("lexical", (F.col("_s") == F.col("source")) & (F.expr("n_chars DIV 400") == F.expr("_n DIV 400")), F.abs(F.col("n_chars") - F.col("_n")))
-    vector = best("vector", (F.col("_l") == F.col("lang")) & (F.expr("n_chars DIV 200") == F.expr("_n DIV 200")), F.abs(F.col("n_chars") % 100 - F.col("_n") % 100))
+    asked = docs.where("doc_id % 50 = 0")
+    best = lambda name, key, value: nearest(asked, docs, key, value).select("query", F.lit(name).alias("channel"), "doc", "rank")
+    lexical = best("lexical", [F.col("source"), F.expr("n_chars DIV 400")], F.col("n_chars"))
+    vector = best("vector", [F.col("lang"), F.expr("n_chars DIV 200")], F.col("n_chars") % 100)
+    asked = asked.select(F.col("doc_id").alias("query"), F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("n_chars").alias("_n"))
     return asked, docs, settle(lexical.unionByName(vector), "channels")
 
 

@@ -76,3 +76,23 @@ def test_strategies_over_documents_against_a_plain_count(spark, sf_dir):
     assert {r["pairs"] for r in got.values()} == {len(pairs)} and set(got) == {"exact", "shingles", "minhash", "simhash"}
     assert got["exact"]["missed"] == sum(s and not e for (_, _, s), e in zip(pairs, equal, strict=True))
     assert got["exact"]["false_collapses"] == sum(e and not s for (_, _, s), e in zip(pairs, equal, strict=True))
+
+
+def test_nearest_takes_few_documents_of_one_value(spark, monkeypatch):
+    """One length with most documents, repeated ids, null keys: as the window over all pairs has it; few rows are joined."""
+    rows = [(i, "a", 100) for i in range(300)] + [(1000 + i, "a", 90 + i % 21) for i in range(60)] + [(2000 + i, "b", i) for i in range(40)] + [(50, "a", 100), (1010, "a", 95), (3000, None, 100), (None, "a", 100), (3001, "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n_chars long").repartition(3)
+    asked = docs.where("doc_id % 50 = 0 OR doc_id = 2007")
+    got = fusion.nearest(asked, docs, [F.col("source")], F.col("n_chars"), 8)
+    known = [r for r in rows if None not in r]
+    want = set()
+    for q in {r[0] for r in known if r[0] % 50 == 0 or r[0] == 2007}:
+        found = sorted((abs(m - v), i) for j, s, v in known if j == q for i, o, m in known if o == s and i != q)
+        want |= {(q, i, n + 1) for n, (_, i) in enumerate(found[:8])}
+    assert {tuple(r) for r in got.collect()} == want
+    # Of 300 documents of one length nine may meet a question.
+    made = {}
+    monkeypatch.setattr(fusion, "settle", lambda df, name: made.setdefault(name, df.localCheckpoint()))
+    fusion.nearest(docs.where("doc_id < 300 AND n_chars = 100"), docs, [F.col("source")], F.col("n_chars"), 8)
+    assert made["firsts"].where("_k0 = 'a' AND _m = 100").select("doc_id").distinct().count() == 9
+    assert made["nearest"].count() <= 9 + 1
