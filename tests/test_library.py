@@ -273,3 +273,28 @@ def test_observations_in_other_scripts_match_the_sql(spark, sf_dir, tmp_path):
     con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
     for name in ("observations", "observations_by_source"):
         assert spark_rows(catalog.queries()[name](spark, str(tmp_path))) == sql_rows(con, catalog.oracle_sql()[name]), name
+
+
+def test_bm25_in_small_blocks_is_bm25_at_once(spark, sf_dir, monkeypatch):
+    """Blocks of rows, questions and postings that cut everywhere, some without a hit; ties by id, ids that are words."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.format_string("d%05d", "doc_id").alias("doc_id"), "text").limit(120)
+    docs = docs.unionByName(docs.select(F.concat("doc_id", F.lit("b")).alias("doc_id"), "text")).coalesce(1)
+    asked = docs.where("doc_id LIKE '%7'").select(F.col("doc_id").alias("query_id"), "text").unionByName(spark.createDataFrame([("x", "zzzznothing"), ("y", "the of zzzznothing")], "query_id string, text string"))
+    known = lambda: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 5)) for r in retrieval.bm25_many(docs, asked, 6).collect())
+    whole = known()
+    assert len({r[0] for r in whole}) > 5
+    for name, value in (("TEXT_QUESTIONS", 4), ("QUESTION_BLOCK", 3), ("ROW_BLOCK", 8), ("POSTINGS", 50), ("CACHED", 7)):
+        monkeypatch.setattr(retrieval, name, value)
+    assert known() == whole
+
+
+def test_bm25_weighs_a_posting_once_for_all_questions():
+    """Rows of postings times weights, of rows without postings and of many; and runs of no values."""
+    rng = retrieval.np.random.default_rng(1)
+    starts, col, share, weight = retrieval.np.array([0, 0, 3, 1500, 1500]), rng.integers(0, 40, 1500), rng.random(1500), rng.random((40, 5))
+    dense = retrieval.np.zeros((4, 40))
+    for i in range(4):
+        retrieval.np.add.at(dense[i], col[starts[i] : starts[i + 1]], share[starts[i] : starts[i + 1]])
+    assert retrieval.np.allclose(retrieval._sparse_times(starts, col, share, weight), dense @ weight)
+    assert [list(x) for x in retrieval._runs_of(retrieval.np.array([], int))] == [[], [], []]
+    assert [list(x) for x in retrieval._runs_of(retrieval.np.array([2, 2, 5]))] == [[2, 5], [0, 2], [2, 3]]
