@@ -298,3 +298,14 @@ def test_bm25_weighs_a_posting_once_for_all_questions():
     assert retrieval.np.allclose(retrieval._sparse_times(starts, col, share, weight), dense @ weight)
     assert [list(x) for x in retrieval._runs_of(retrieval.np.array([], int))] == [[], [], []]
     assert [list(x) for x in retrieval._runs_of(retrieval.np.array([2, 2, 5]))] == [[2, 5], [0, 2], [2, 3]]
+
+
+def test_near_duplicates_are_compared_whole_only_if_they_may_be_alike(spark, monkeypatch):
+    """Sets that share a first shingle but little else go no further than their sketches; none that is alike is lost."""
+    made, settle = {}, dedup.settle
+    monkeypatch.setattr(dedup, "settle", lambda df, name: made.setdefault(name, settle(df, name)) if name in ("likely", "pairs") else settle(df, name))
+    monkeypatch.setattr(dedup, "discard", lambda *_: None)
+    sets = [(1, [f"a{i}" for i in range(100)]), (2, [f"a{i}" for i in range(95)] + ["x"]), *[(10 + j, [f"a{i}" for i in range(30)] + [f"b{j} {i}" for i in range(70)]) for j in range(20)]]
+    found = dedup.alike(spark.createDataFrame([("s", i, s) for i, s in sets], "source string, doc_id long, s array<string>"), (4, 5)).collect()
+    assert [(r["u"], r["v"], r["similarity"]) for r in found] == [(1, 2, round(95 / 101, 6))]
+    assert made["likely"].count() == 1 < made["pairs"].count()
