@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,12 +137,48 @@ def clean_text(text: str, rules: tuple[Rule, ...] = RULES, lines: set[str] = fro
     return now, log, [{k: e[k] for k in ("start", "end", "after")} for e in net]
 
 
-def _cleaner(rules: tuple[Rule, ...]) -> Callable:
-    def work(texts: pd.Series, lines: pd.Series) -> pd.DataFrame:
-        done = [clean_text(t or "", rules, set(x)) for t, x in zip(texts, lines, strict=True)]
-        return pd.DataFrame({"cleaned": [d[0] for d in done], "log": [d[1] for d in done], "net": [d[2] for d in done]})
+#: Characters of source whose edits are held at once, one text at least: an edit takes some hundred bytes in Python.
+HELD = 1 << 18
 
-    return F.pandas_udf(work, f"cleaned string, log {LOG}, net {NET}")
+
+def _portions(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch cut where its texts exceed so many characters."""
+    first = size = 0
+    for i, n in enumerate(pc.utf8_length(batch.column("text")).to_pylist()):
+        if size and size + n > most:
+            yield batch.slice(first, i - first)
+            first, size = i, 0
+        size += n
+    yield batch.slice(first)
+
+
+_TEXT, _AT = pa.string(), pa.int32()
+_NET = pa.list_(pa.struct({"start": _AT, "end": _AT, "after": _TEXT}))
+_LOG = pa.list_(pa.struct({"rule": _TEXT, "level": _TEXT, "start": _AT, "end": _AT, "source_start": _AT, "source_end": _AT, "before": _TEXT, "after": _TEXT}))
+
+
+def _cleaned(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """doc, text, cleaned, log and net. rows: doc, text, lines. Edits leave Python a portion at a time."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _portions(batch, HELD):
+                done = [clean_text(t, rules, set(x)) for t, x in zip(part.column("text").to_pylist(), part.column("lines").to_pylist(), strict=True)]
+                made = [pa.array([d[i] for d in done], kind) for i, kind in enumerate((_TEXT, _LOG, _NET))]
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("text"), *made], names=["doc", "text", "cleaned", "log", "net"])
+
+    kind = rows.schema["doc"].dataType.simpleString()
+    return rows.select("doc", "text", "lines").mapInArrow(work, f"doc {kind}, text string, cleaned string, log {LOG}, net {NET}")
+
+
+def _plain(rules: tuple[Rule, ...]) -> Callable:
+    """Column: the cleaned text alone, without the lines that repeat."""
+
+    def work(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: clean_text(t, rules)[0])
+
+    work.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(work, "string")
 
 
 def repeated_lines(texts: DataFrame, documents: int = 3, longest: int = 80) -> DataFrame:
@@ -166,10 +204,10 @@ def clean(docs: DataFrame, rules: tuple[Rule, ...] = RULES, documents: int = 3)
     none = F.array().cast("array<string>")
     at = next((i for i, r in enumerate(rules) if r.find is None and r.level == STRUCTURAL), None)
     if at is None:
-        return rows.withColumn("lines", none).select("doc", "text", _cleaner(rules)("text", "lines").alias("_c")).select("doc", "text", "_c.*")
-    before = rows.withColumn("lines", none).select("doc", "source", _cleaner(rules[:at])("text", "lines")["cleaned"].alias("text"))
+        return _cleaned(rows.withColumn("lines", none), rules)
+    before = rows.select("doc", "source", _plain(rules[:at])("text").alias("text"))
     known = rows.join(repeated_lines(before, documents), "doc", "left")
-    return known.select("doc", "text", _cleaner(rules)("text", F.coalesce("lines", none)).alias("_c")).select("doc", "text", "_c.*")
+    return _cleaned(known.withColumn("lines", F.coalesce("lines", none)), rules)
 
 
 def audit(cleaned: DataFrame) -> DataFrame:
