@@ -1,5 +1,7 @@
 """Checks over many datasets, declared as rules and compiled into one scan of each dataset and one shuffle of facts.
 
+Datasets whose references miss their targets are read once more, for the least row that makes each of these.
+
 A row gives a fact for each rule that it breaks, each key it claims, each reference it makes and each key others may refer
 to. Facts are counted before and behind one shuffle; duplicates are keys counted twice, and all references of all datasets
 meet their targets in one anti join.
@@ -7,6 +9,7 @@ meet their targets in one anti join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +19,7 @@ from ..plans.registry import query
 from ..plans.settled import settle
 from ..sources.tables import table
 
-FACTS = "struct<kind:string,rule:string,target:string,value:string>"
+FACTS = "array<struct<code:int,value:string>>"
 
 
 @dataclass(frozen=True)
@@ -67,49 +70,79 @@ def share(dataset: str, condition: str, least: float) -> Rule:
     return Rule(f"{dataset}: {condition} for {least:.0%}", dataset, "share", holds=condition, least=least)
 
 
-def _fact(rule: Rule) -> Column:
+def _one(code: int, value: Column) -> Column:
+    return F.array(F.struct(F.lit(code).alias("code"), value.cast("string").alias("value"))).cast(FACTS)
+
+
+def _fact(rule: Rule, code: Callable[[str], int]) -> Column:
     """The array of facts that a row gives for a rule."""
-    one = lambda kind, value, target="": F.array(F.struct(F.lit(kind).alias("kind"), F.lit(rule.name).alias("rule"), F.lit(target).alias("target"), value.cast("string").alias("value"))).cast(f"array<{FACTS}>")
-    none = F.array().cast(f"array<{FACTS}>")
+    none = F.array().cast(FACTS)
     if rule.kind == "unique":
-        return F.when(F.expr(rule.field).isNotNull(), one("key", F.expr(rule.field))).otherwise(none)
+        return F.when(F.expr(rule.field).isNotNull(), _one(code("key"), F.expr(rule.field))).otherwise(none)
     if rule.kind == "share":
-        return one("share", F.coalesce(F.expr(rule.holds), F.lit(False)))
+        return _one(code("share"), F.coalesce(F.expr(rule.holds), F.lit(False)))
     if rule.kind == "required":
         text = F.expr(f"cast({rule.field} AS string)")
-        return F.when(text.isNull() | (F.btrim(text) == ""), one("bad", F.lit(None))).otherwise(none)
+        return F.when(text.isNull() | (F.btrim(text) == ""), _one(code("bad"), F.lit(None))).otherwise(none)
     value = F.expr(rule.field) if rule.kind == "allowed" else F.lit(None)
-    return F.when(F.coalesce(F.expr(rule.holds), F.lit(False)), none).otherwise(one("bad", value))
+    return F.when(F.coalesce(F.expr(rule.holds), F.lit(False)), none).otherwise(_one(code("bad"), value))
 
 
-def _references(rule: Rule, array: bool) -> Column:
+def _values(df: DataFrame, rule: Rule) -> Column:
+    """The values that a row refers to."""
+    array = df.select(F.expr(rule.field)).schema[0].dataType.typeName() == "array"
     values = F.expr(rule.field) if array else F.array(F.expr(rule.field))
-    made = F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v: F.struct(F.lit("ref").alias("kind"), F.lit(rule.name).alias("rule"), F.lit(rule.target).alias("target"), v.cast("string").alias("value")))
-    return F.coalesce(made, F.array().cast(f"array<{FACTS}>"))
+    return F.coalesce(F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v: v.cast("string")), F.array().cast("array<string>"))
+
+
+def _references(values: Column, code: int) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(code).alias("code"), v.alias("value"))).cast(FACTS)
 
 
 def facts(datasets: dict[str, tuple[DataFrame, str]], rules: list[Rule]) -> DataFrame:
-    """dataset, kind, rule, target, value, bad, n, record: what the rows of all datasets say, counted.
+    """dataset, kind, rule, target, value, bad, n: what the rows of all datasets say, counted.
 
     datasets: a table and the expression that names its rows. A dataset that no rule asks about is not read. Rules of kind bad
-    keep every row (in bad), the others the least row of a value.
+    keep every row (in bad). A number stands for dataset, kind, rule and target until all is counted.
     """
     targets = {r.target for r in rules if r.kind == "refers"}
+    codes: list[tuple[str, str, str, str]] = []
+
+    def code(*named: str) -> int:
+        codes.append(named)
+        return len(codes) - 1
+
     out = None
     for name, (df, record) in datasets.items():
         own = [r for r in rules if r.dataset == name]
         wanted = sorted(t.split(".", 1)[1] for t in targets if t.split(".", 1)[0] == name)
         if not own and not wanted:
             continue
-        arrays = {r: df.select(F.expr(r.field)).schema[0].dataType.typeName() == "array" for r in own if r.kind == "refers"}
-        parts = [_references(r, arrays[r]) if r.kind == "refers" else _fact(r) for r in own]
-        parts += [F.when(F.expr(f).isNotNull(), F.array(F.struct(F.lit("def").alias("kind"), F.lit("").alias("rule"), F.lit(f"{name}.{f}").alias("target"), F.expr(f).cast("string").alias("value"))).cast(f"array<{FACTS}>")).otherwise(F.array().cast(f"array<{FACTS}>")) for f in wanted]
-        said = df.select(F.lit(name).alias("dataset"), F.expr(record).cast("string").alias("record"), F.explode(F.concat(*parts)).alias("f")).select("dataset", "record", "f.*")
+        parts = [_references(_values(df, r), code(name, "ref", r.name, r.target)) if r.kind == "refers" else _fact(r, lambda kind, r=r: code(name, kind, r.name, "")) for r in own]
+        parts += [F.when(F.expr(f).isNotNull(), _one(code(name, "def", "", f"{name}.{f}"), F.expr(f))).otherwise(F.array().cast(FACTS)) for f in wanted]
+        said = df.select(F.expr(record).cast("string").alias("record"), F.explode(F.concat(*parts)).alias("f")).select("record", "f.*")
         out = said if out is None else out.unionByName(said)
     if out is None:
         raise ValueError("no rule asks about any dataset")
-    bad = F.when(F.col("kind") == "bad", F.col("record"))
-    return out.withColumn("bad", bad).groupBy("dataset", "kind", "rule", "target", "value", "bad").agg(F.count("*").alias("n"), F.min("record").alias("record"))
+    bad = F.when(F.col("code").isin(*[i for i, c in enumerate(codes) if c[1] == "bad"]), F.col("record")) if any(c[1] == "bad" for c in codes) else F.lit(None).cast("string")
+    counts = out.select("code", "value", bad.alias("bad")).groupBy("code", "value", "bad").agg(F.count("*").alias("n"))
+    names = F.array(*[F.struct(*[F.lit(x).alias(k) for k, x in zip(("dataset", "kind", "rule", "target"), c, strict=True)]) for c in codes])
+    return counts.select(F.get(names, "code").alias("_c"), "value", "bad", "n").select("_c.*", "value", "bad", "n")
+
+
+def _least_records(datasets: dict[str, tuple[DataFrame, str]], rules: list[Rule], lost: DataFrame) -> DataFrame:
+    """lost (dataset, rule, value, n) with the least record that refers so. Only datasets of such references are read again."""
+    broken = {(r["dataset"], r["rule"]) for r in lost.select("dataset", "rule").distinct().collect()}
+    out = None
+    for r in rules:
+        if r.kind == "refers" and (r.dataset, r.name) in broken:
+            df, record = datasets[r.dataset]
+            made = df.select(F.lit(r.dataset).alias("dataset"), F.lit(r.name).alias("rule"), F.expr(record).cast("string").alias("record"), F.explode(_values(df, r)).alias("value"))
+            made = made.join(lost.where((F.col("dataset") == r.dataset) & (F.col("rule") == r.name)).select("value"), "value", "left_semi")
+            out = made if out is None else out.unionByName(made)
+    if out is None:
+        return lost.withColumn("record", F.lit(None).cast("string"))
+    return lost.join(out.groupBy("dataset", "rule", "value").agg(F.min("record").alias("record")), ["dataset", "rule", "value"])
 
 
 def check(datasets: dict[str, tuple[DataFrame, str]], rules: list[Rule]) -> DataFrame:
@@ -122,12 +155,13 @@ def check(datasets: dict[str, tuple[DataFrame, str]], rules: list[Rule]) -> Data
         missing -= set(datasets)
         if missing:
             raise ValueError(f"no such dataset: {', '.join(sorted(missing))}")
-    known = settle(facts(datasets, rules), "facts")
+    known = settle(facts(datasets, rules).where("kind <> 'key' OR n > 1"), "facts")
     shown = lambda df, record, detail: df.select("dataset", "rule", record.alias("record"), detail.alias("detail"), "n")
     bad = shown(known.where("kind = 'bad'"), F.col("bad"), F.col("value"))
-    twice = shown(known.where("kind = 'key' AND n > 1"), F.col("value"), F.lit(None).cast("string"))
-    there = known.where("kind = 'def'").select("target", "value").distinct()
-    lost = shown(known.where("kind = 'ref'").join(there, ["target", "value"], "left_anti"), F.col("record"), F.col("value"))
+    twice = shown(known.where("kind = 'key'"), F.col("value"), F.lit(None).cast("string"))
+    there = known.where("kind = 'def'").select("target", "value")
+    vain = settle(known.where("kind = 'ref'").join(there, ["target", "value"], "left_anti").select("dataset", "rule", "value", "n"), "lost")
+    lost = shown(_least_records(datasets, rules, vain), F.col("record"), F.col("value"))
     least = F.lit(None).cast("double")
     for r in rules:
         if r.kind == "share":
