@@ -114,8 +114,9 @@ def _feed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     if done:
         waiting, buffer = {}, ""
     state.update((after, buffer, allowed, cited, at, invalid, [f"{n}:{int(f)}:{d}" for n, (f, d) in sorted(waiting.items())], done))
-    parts = pd.DataFrame(out, columns=["part", "at", "kind", "text", "citation_ids"]).astype({"part": "Int64"})
-    yield parts.assign(message=key[0])[["message", *parts.columns]]
+    if out:
+        part, place, kind, text, ids = zip(*out, strict=True)
+        yield pd.DataFrame({"message": [key[0]] * len(out), "part": pd.array(part, "Int64"), "at": place, "kind": kind, "text": text, "citation_ids": ids})
 
 
 def parse_stream(deltas: DataFrame) -> DataFrame:
@@ -174,8 +175,10 @@ def citation_stream(spark, d):
     """The same rows from a stream of deltas of 40 characters, in some micro-batches with keyed state."""
     at = f"{shared_dir(spark)}/citations-{uuid.uuid4().hex}"
     deltas = cut_deltas(_answers(spark, d), 40)
-    deltas.repartition(4, "seq").write.parquet(f"{at}/deltas")
-    stream = spark.readStream.schema(deltas.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/deltas")
+    # By message too: seq 0 has a delta of every message. Two files a core make two micro-batches that fill the cores.
+    files = 2 * max(2, spark.sparkContext.defaultParallelism)
+    deltas.repartition(files, "seq", "message").write.parquet(f"{at}/deltas")
+    stream = spark.readStream.schema(deltas.schema).option("maxFilesPerTrigger", files // 2).parquet(f"{at}/deltas")
     return _flat(merged(run_available(parse_stream(stream), f"{at}/parts", f"{at}/checkpoint")))
 
 
