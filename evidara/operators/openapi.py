@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..plans.registry import query
 from ..plans.settled import settle
 from ..sources.tables import table
@@ -43,12 +44,14 @@ def yaml_lines(documents: DataFrame) -> DataFrame:
     known = lines.select("*", F.array(*last).alias("_last"))
     seen = F.transform("_last", lambda x, i: F.struct(F.get(F.lit(levels), i).alias("level"), x["n"].alias("n"), x["key"].alias("key")))
     smaller = F.filter(seen, lambda x: (x["level"] < F.col("level")) & x["n"].isNotNull())
+    # A column, as a lambda that names the expression would evaluate it for every element.
+    below = X.fixed(known, "doc", "n", "indent", "raw", "value", "item", "key", _smaller=smaller)
     # From the outermost on, a line of a level counts only if no line further out came after it.
-    open_ = F.filter(smaller, lambda x: ~F.exists(smaller, lambda y: (y["level"] < x["level"]) & (y["n"] > x["n"])))
-    held = known.select("doc", "n", "indent", "raw", "value", "item", "key", open_.alias("_open"))
+    open_ = F.filter("_smaller", lambda x: ~F.exists("_smaller", lambda y: (y["level"] < x["level"]) & (y["n"] > x["n"])))
+    held = X.fixed(below, "doc", "n", "indent", "raw", "value", "item", "key", _open=open_)
     own = F.struct(F.col("n").alias("n"), F.when(F.col("item"), "[]").otherwise(F.col("key")).alias("key"))
     chain = F.concat(F.transform("_open", lambda x: F.struct(x["n"].alias("n"), x["key"].alias("key"))), F.array(own))
-    return held.withColumn("_chain", chain).select("doc", "n", "indent", "raw", "value", "item", F.transform("_chain", lambda x: x["key"]).alias("path"), F.transform("_chain", lambda x: x["n"]).alias("above"))
+    return X.fixed(held, "doc", "n", "indent", "raw", "value", "item", _chain=chain).select("doc", "n", "indent", "raw", "value", "item", F.col("_chain.key").alias("path"), F.col("_chain.n").alias("above"))
 
 
 def property_path(path: Column) -> Column:
